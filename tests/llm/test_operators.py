@@ -1,0 +1,447 @@
+"""Each operator against a plain Python version, plus the defined edge cases."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+pytest.importorskip("corpusloom.llm")
+from corpusloom.llm import decontam, line_dedup, minhash, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_shards, warc  # noqa: E402
+from corpusloom.llm._wordbpe import word_bpe_path  # noqa: E402
+from corpusloom.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, label string, cls long, anchor int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t, more.get("lang", "en"), f"s{i % 12}" if "source" not in more else more["source"], None if t is None else len(t), "x", "y", 7, 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def odd_texts():
+    return [None, "", " \n\t ", "a", "a", "b " * 3, "é" * 500, "x" * 5000, "\x01\x02 a@b.co \x01", "\n".join(["same line here"] * 6)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, data_dir):
+    return spark.read.parquet(f"{data_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+
+
+# --- personal data
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        s += v - 9 if v > 9 else v
+    return s % 10 == 0
+
+
+def base_spans(t):
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, t) if ok(m[0])]
+
+
+def check_pii(df, texts):
+    rows = df.collect()
+    for r in rows:
+        spans = base_spans(texts[r.doc_id])
+        digest = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in spans) for k in pii.KINDS), texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert not set(filter(None, digest.split(","))) - set(r.spans.split(","))
+    return rows
+
+
+def test_pii_matches_regular_expressions(documents, texts):
+    assert len(check_pii(pii.find_personal_data(documents), texts)) == len(texts)
+
+
+def test_pii_tricky_matches(spark):
+    tricky = odd_texts() + [
+        "a@b.co-m@x.y a@b.co_m@x.y a@b.co%z@q.r @x.y a@b a@b. ..@x.y", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 0000000000000 1 2 3",
+        "+1 (988) 555-2485. +12 34 +1234567890123456 +1 2 3 4 5 6 7 8 9 +", "é😀 a@b.co 😀+1 988 555 2485", "9" * 3000, "a." * 2000 + "@b.c", "1.2.3.4 " * 500,
+    ]
+    check_pii(pii.find_personal_data(docs_of(spark, tricky)), {i: (t or "") for i, t in enumerate(tricky)})
+
+
+def test_pii_bootstrap_finds_unseen(spark):
+    rows = [f"please send it to contact email: user{i}@site{i}.example.com today" for i in range(20)] + ["please send it to contact email: user7(at)hidden-site today", "no identifiers at all 77"]
+    out = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    assert out[20].n_email == 0 and out[20].n_found == 1 and out[20].spans == "email:33:54"
+    assert out[21].spans == "" and out[0].n_email == 1 and out[0].n_found == 0
+
+
+# --- quality rules
+
+
+def quality_counts(t):
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts(spark, documents, texts):
+    more = odd_texts() + ["w " * 100, "f\x0bf\x0cf f", "a b c d e f g h i a b c d e f g h i " * 3]
+    for df, want in ((documents, texts), (docs_of(spark, more), dict(enumerate(t or "" for t in more)))):
+        for r in quality_rules.judge_quality(df).collect():
+            c = quality_counts(want[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == c
+            assert r.base_failed == (c[0] < 20 or 100 * c[4] > 30 * c[0])
+            assert not (r.kept and r.base_failed)
+
+
+def test_quality_thresholds_adapt(spark):
+    clean = [" ".join(f"word{i}x{j}" for j in range(60)) for i in range(100)]
+    out = quality_rules.keep_quality(docs_of(spark, [*clean, " ".join(f"***{j}***" for j in range(60))], source="one")).collect()
+    assert {r.doc_id for r in out} == set(range(100)) and out[0].sig == "x"
+
+
+def test_quality_null_groups_and_empty(spark):
+    df = spark.createDataFrame([(1, None, None, " ".join(map(str, range(30)))), (None, "en", None, None)], "doc_id long, lang string, source string, text string")
+    assert {r.doc_id: r.kept for r in quality_rules.judge_quality(df).collect()} == {1: True, None: False}
+    assert quality_rules.judge_quality(df.limit(0)).count() == 0
+
+
+# --- line dedup
+
+
+def test_line_dedup(spark):
+    texts = [f"menu home\nown {i}\n  menu home \n" for i in range(24)] + odd_texts()
+    rows = line_dedup.line_report(docs_of(spark, texts)).collect()
+    sites, first = defaultdict(set), {}
+    for i, t in enumerate(texts):
+        for p, line in enumerate((t or "").split("\n")):
+            k = line.strip(" \t\n\x0b\f\r")
+            if k:
+                sites[k].add(i % 12)
+                first.setdefault(k, (i, p))
+    for r in rows:
+        lines = (texts[r.doc_id] or "").split("\n")
+        key = [x.strip(" \t\n\x0b\f\r") for x in lines]
+        left = [x for p, (x, k) in enumerate(zip(lines, key, strict=True)) if not (k and len(sites[k]) >= 10 and first[k] != (r.doc_id, p))]
+        assert r.n_removed == len(lines) - len(left) and r.kept_sha256 == hashlib.sha256("\n".join(left).encode()).hexdigest()
+    kept = line_dedup.remove_boilerplate(docs_of(spark, texts)).collect()
+    assert {r.doc_id for r in kept} == set(range(len(texts))) and next(r for r in kept if r.doc_id == 3).text == "own 3\n"
+    assert line_dedup.line_report(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+# --- MinHash
+
+
+def brute_components(texts, k, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    by = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            by[g].append(i)
+    common = Counter((a, b) for v in by.values() for x, a in enumerate(v) for b in v[x + 1 :])
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def near_texts(seed=3):
+    rng = random.Random(seed)
+    out = []
+    for g in range(12):
+        base = [f"w{rng.randint(0, 4000)}" for _ in range(rng.choice([6, 40, 150]))]
+        for _ in range(rng.choice([1, 2, 12])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+            out.append(" ".join(w).upper() if rng.random() < 0.3 else "\n".join(w))
+    return out + odd_texts()
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_minhash_components(spark, documents, texts, k):
+    made = near_texts()
+    for df, want in ((docs_of(spark, made), dict(enumerate(made))), (documents, texts)):
+        expect = brute_components(want, k, 80)
+        rows = minhash.near_duplicates(df, shingle_words=k).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expect
+        assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_minhash_chain_and_edges(spark):
+    words = [f"t{i}" for i in range(400)]
+    chain = [" ".join(f"q{j}" if j < 8 * step else words[j] for j in range(400)) for step in range(12)]
+    out = minhash.near_duplicates(docs_of(spark, chain), shingle_words=4).collect()
+    assert {r.component_id for r in out} == {0}
+    df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "zz"), (None, None)], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle_words=4).collect()), key=str)
+    assert rows == sorted([(None, 3, 5), (5, 3, 5), (5, 1, 5), (None, 0, None)], key=str)
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert [r.doc_id for r in minhash.drop_near_duplicates(docs_of(spark, ["a b c d e f g"] * 3)).collect()] == [0]
+
+
+def test_minhash_prune_bound():
+    least = minhash.least_matches()
+    assert sorted(least) == [32, 64, 96, 128, 160] and all(least[n] < 0.8 * n for n in least)
+
+
+# --- decontamination
+
+
+def test_decontamination(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"v{rng.randint(0, 900)}" for _ in range(rng.choice([6, 20, 45])))) for i in range(25)] + [(99, "one two"), (100, None)]
+    texts = []
+    for i in range(120):
+        w = [f"v{rng.randint(0, 900)}" for _ in range(rng.randint(0, 200))]
+        if i % 3 == 0:
+            item = items[i % 25][1].split()
+            for _ in range(rng.randint(0, int(0.2 * len(item)))):
+                kind, at = rng.randrange(3), rng.randrange(len(item))
+                item[at : at + (kind != 2)] = [] if kind == 1 else [f"n{rng.randint(0, 99)}"]
+            at = rng.randint(0, len(w))
+            w[at:at] = [x.upper() + "," for x in item]
+        texts.append(" ".join(w))
+    texts += odd_texts()
+    want = {}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        for item, body in items:
+            target = (body or "").split()
+            if len(target) >= 5:
+                row = [0] * (len(words) + 1)
+                for a, x in enumerate(target, 1):
+                    new = [a]
+                    for b, y in enumerate(words, 1):
+                        new.append(min(row[b - 1] + (x != y), row[b] + 1, new[-1] + 1))
+                    row = new
+                if min(row) <= int(0.2 * len(target) + 1e-9):
+                    want[i, item] = min(row)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(docs_of(spark, texts), bench).collect()}
+    assert not set(got) - set(want)
+    assert len(set(want) - set(got)) <= 0.02 * len(want) and all(want[k] <= got[k] for k in got)
+    assert all(k in got for k, d in want.items() if d == 0)
+    assert decontam.leaks(docs_of(spark, texts).limit(0), bench).count() == 0
+    assert decontam.leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
+    kept = {r.doc_id for r in decontam.drop_leaks(docs_of(spark, texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {k[0] for k in got}
+
+
+def test_walk_recall():
+    assert decontam.calibrate(30, 6, 0.99) <= 256
+    item = np.arange(1, 31).astype(np.uint64)
+    assert decontam.lsh_equal(item[None, :], item, 1).all()
+    assert decontam.best_distance(np.array([9, 1, 2, 4, 9]).astype(np.uint64), np.array([1, 2, 3, 4]).astype(np.uint64)) == 1
+
+
+# --- exact substrings
+
+
+def brute_repeats(texts):
+    seen, out = set(), {}
+    for i, t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 99):
+            w = b[s : s + 100]
+            if w in seen:
+                gone[s : s + 100] = True
+            seen.add(w)
+        runs = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
+        out[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
+
+
+def test_suffix_dedup(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abc déf", k=rng.choice([90, 99, 100, 101, 180, 400]))) for _ in range(8)]
+    texts = ["".join(rng.choices("xyz\n", k=rng.randint(0, 80))) + rng.choice(passages) + rng.choice(passages) + "".join(rng.choices("uvw", k=rng.randint(0, 300))) for _ in range(60)]
+    texts += [*odd_texts(), "x" * 300, "ab" * 200, texts[0], texts[1]]
+    want = brute_repeats(list(enumerate(texts)))
+    for hot in (suffix_dedup.HOT_REGIONS, 2):
+        monkeypatch.setattr(suffix_dedup, "HOT_REGIONS", hot)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+        assert got == want
+    assert suffix_dedup.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_suffix_dedup_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "k" * 50 + "m" * 100), (1, "k" * 50 + "m" * 100), (None, "m" * 120)], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(120, 120), (150, 0), (150, 150)]
+
+
+def test_suffix_array_orders_suffixes():
+    rng = random.Random(1)
+    for _ in range(200):
+        t = np.array([rng.randint(0, rng.choice([0, 1, 3, 200])) for _ in range(rng.randint(1, 120))], np.int16)
+        order = suffix_dedup.suffix_array(t, 200)
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        lcp = suffix_dedup.common_prefixes(t, order, 200)
+        for k in range(1, len(t)):
+            a, b = t[order[k - 1] :].tolist(), t[order[k] :].tolist()
+            assert lcp[k] == next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+# --- token shards
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(word_bpe_path())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
+def test_feistel_is_a_permutation(n):
+    out = token_shards.feistel(np.arange(n), n)
+    assert sorted(out.tolist()) == list(range(n)) and (n < 100 or out.tolist() != list(range(n)))
+    assert (token_shards.feistel(np.arange(n), n) == out).all()
+
+
+def test_token_shards_round_trip(spark, documents, texts):
+    for df, want in ((documents, texts), (docs_of(spark, odd_texts()), dict(enumerate(odd_texts())))):
+        index, folder = token_shards.write_shards(df, seq_len=256, shard_sequences=64)
+        rows = token_shards.read_shards(index, folder, seq_len=256).collect()
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        assert all(r.shard == r.slot // 64 and r.byte_offset == r.slot % 64 * 512 for r in rows)
+        parts = defaultdict(list)
+        for r in rows:
+            at = 0
+            for d in r.docs:
+                parts[d.doc_id].append((d.start, r.input_ids[at : at + d.length]))
+                at += d.length
+            assert all(x == token_shards.PAD_ID for x in r.input_ids[at:])
+        tok = tokenizer()
+        for i, t in want.items():
+            ids = [x for _, p in sorted(parts[i]) for x in p]
+            assert ids == [*tok.encode(t or "", add_special_tokens=False).ids, token_shards.END_ID]
+        assert token_shards.sequence_digest(index, folder, seq_len=256).filter("not intact").count() == 0
+    index, _ = token_shards.write_shards(documents.limit(0))
+    assert index.count() == 0
+
+
+# --- WARC
+
+
+def test_warc_round_trip(spark, data_dir):
+    pages = spark.createDataFrame(
+        [(1, "http://a", "same"), (2, None, "same"), (3, "http://c", ""), (4, "http://d\n", None), (5, "u", "é\r\n\r\nWARC/1.1"), (6, "u", "x" * 3_000_000), (7, "u", "same")], "page_id long, url string, html string"
+    )
+    for df in (pages, spark.read.parquet(f"{data_dir}/pages.parquet")):
+        want = {r.page_id: (r.html or "").encode() for r in df.collect()}
+        last = {}
+        for p in sorted(want):
+            last[want[p]] = p
+        rows = warc.archive_round_trip(df).collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            body = want[r.page_id]
+            assert r.payload_bytes == len(body) and r.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+            assert (r.record_type, r.refers_to) == (("response", None) if last[body] == r.page_id else ("revisit", last[body]))
+            assert r.payload_sha1 == (hashlib.sha1(body).hexdigest() if r.record_type == "response" else None)
+    assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_members_and_broken_streams(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    pages = spark.createDataFrame([(i, "u", f"body {i}" * 50) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    rough = warc.write_archives(pages, folder).cache()
+    path = rough.first().path.removeprefix("file://")
+    data = open(path, "rb").read()
+    index = warc.normalise_gzip(rough).collect()
+    whole = open(index[0].path.removeprefix("file://"), "rb").read()
+    at = 0
+    for r in index:
+        assert r.offset == at
+        record = zlib.decompress(whole[at : at + r.length], 31)
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        at += r.length
+    assert at == len(whole) and zlib.decompress(data, 31) == b"".join(zlib.decompress(whole[r.offset : r.offset + r.length], 31) for r in index)
+    open(path, "wb").write(data[:-20])
+    with pytest.raises(Exception, match="cut short|inside a record"):
+        warc.normalise_gzip(rough).collect()
+
+
+# --- packing
+
+
+def test_packing(spark, documents, texts):
+    tok = tokenizer()
+    for df, want in ((documents, texts), (docs_of(spark, odd_texts()), dict(enumerate(odd_texts())))):
+        rows = packing.pack_documents(df).collect()
+        assert len({r.sequence_id for r in rows}) == len(rows)
+        parts = defaultdict(list)
+        for r in rows:
+            assert r.length == len(r.input_ids) == 1 << r.bucket and r.length <= 2048 and r.offset == 0
+            assert r.ids_crc32 == zlib.crc32(np.array(r.input_ids, "<u4").tobytes())
+            parts[r.doc_id].append(r)
+        for i, t in want.items():
+            own = sorted(parts[i], key=lambda r: r.start)
+            ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+            assert [x for r in own for x in r.input_ids] == ids and {r.doc_tokens for r in own} == {len(ids)}
+            assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist()
+            assert [r.length for r in own] == packing.piece_lengths(len(ids))
+    assert packing.pack_documents(documents.limit(0)).count() == 0
+
+
+# --- quality classifier
+
+
+def test_quality_classifier_on_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_classifier.score_documents(d).join(lab, "doc_id").collect()
+    right = sum(r.kept == bool(r.quality) for r in rows) / len(rows)
+    assert right > 0.95
+    assert sum(r.kept for r in rows if r.quality) / sum(1 for r in rows if r.quality) > 0.97
+
+
+def test_quality_classifier_edges(spark):
+    out = {r.doc_id: r for r in quality_classifier.score_documents(docs_of(spark, odd_texts())).collect()}
+    assert len(out) == len(odd_texts()) and not out[0].kept and out[0].score == 0
+    assert quality_classifier.score_documents(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_label_model_orders_patterns():
+    k = len(quality_classifier.LABELLERS)
+    good, bad = sum(3**j for j in range(k)), 0
+    post, fitted = quality_classifier.fit_labellers(np.array([good, bad]), np.array([90.0, 10.0]))
+    assert post[0] > 0.99 and post[1] < 0.01 and 0.8 < fitted["prior"] < 0.95
+
+
+# --- registration
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
