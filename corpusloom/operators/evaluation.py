@@ -44,15 +44,20 @@ def bits_per_character(loss: Column, tokens: Column, chars: Column) -> Column:
     return loss / F.log(F.lit(2.0)) * tokens / chars
 
 
-def _ngrams(c: Column, n: int) -> Column:
-    units = F.filter(F.split(F.regexp_replace(c, r"[\s\p{Z}]+", ""), ""), lambda x: x != "")
-    return F.when(F.size(units) >= n, F.transform(F.sequence(F.lit(0), F.size(units) - n), lambda i: F.array_join(F.slice(units, i + 1, n), ""))).otherwise(F.array().cast("array<string>"))
+def _characters(c: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(c, r"[\s\p{Z}]+", ""), ""), lambda x: x != "")
 
 
-def _word_ngrams(c: Column, n: int) -> Column:
+def _split_words(c: Column) -> Column:
+    """White-space tokens with one leading or trailing punctuation mark set apart."""
     spaced = F.regexp_replace(F.regexp_replace(c, r"(?<=[^\s\p{Z}])(\p{P})(?=[\s\p{Z}]|$)", " $1"), r"(?<=^|[\s\p{Z}])(\p{P})(?=[^\s\p{Z}])", "$1 ")
-    units = F.filter(F.split(spaced, r"[\s\p{Z}]+"), lambda x: x != "")
-    return F.when(F.size(units) >= n, F.transform(F.sequence(F.lit(0), F.size(units) - n), lambda i: F.array_join(F.slice(units, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.split(spaced, r"[\s\p{Z}]+"), lambda x: x != "")
+
+
+def _ngrams(units: str, n: int, glue: str) -> Column:
+    """n-grams of an array column, by name."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(units) - n), lambda i: F.array_join(F.slice(units, i + 1, n), glue))
+    return F.when(F.size(units) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def chrf(pairs: DataFrame, *, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
@@ -60,9 +65,11 @@ def chrf(pairs: DataFrame, *, char_order: int = 6, word_order: int = 2, beta: fl
 
     Orders without n-grams on either side are left out of the average.
     """
-    orders = [("c", n, _ngrams) for n in range(1, char_order + 1)] + [("w", n, _word_ngrams) for n in range(1, word_order + 1)]
-    sides = F.array(*(F.struct(F.lit(f"{k}{n}").alias("o"), f(F.coalesce("hypothesis", F.lit("")), n).alias("h"), f(F.coalesce("reference", F.lit("")), n).alias("r")) for k, n, f in orders))
-    df = pairs.select("id", F.explode(sides).alias("x"))
+    units = {f"{k}{s}": f(F.coalesce(c, F.lit(""))).alias(f"{k}{s}") for k, f in (("c", _characters), ("w", _split_words)) for s, c in (("h", "hypothesis"), ("r", "reference"))}
+    df = pairs.select("id", *units.values())
+    orders = [("c", n, "") for n in range(1, char_order + 1)] + [("w", n, " ") for n in range(1, word_order + 1)]
+    sides = F.array(*(F.struct(F.lit(f"{k}{n}").alias("o"), _ngrams(f"{k}h", n, g).alias("h"), _ngrams(f"{k}r", n, g).alias("r")) for k, n, g in orders))
+    df = df.select("id", F.explode(sides).alias("x"))
     grams = df.select("id", "x.o", F.explode(F.concat(F.transform("x.h", lambda g: F.struct(g.alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))), F.transform("x.r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("h"), F.lit(1).alias("r"))))).alias("e"))
     counts = grams.groupBy("id", "o", "e.g").agg(F.sum("e.h").alias("h"), F.sum("e.r").alias("r"))
     by = counts.groupBy("o").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).filter("h > 0 and r > 0")

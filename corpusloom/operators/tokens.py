@@ -193,9 +193,7 @@ def train_bpe(docs: DataFrame, vocab_size: int, *, min_frequency: int = 2) -> tu
         a, b = top[0]["a"], top[0]["b"]
         merges.append((a, b))
         vocab.append(a + b)
-        state = _merge(state, a, b)
-        if len(merges) % 16 == 0:
-            state = state.checkpoint()
+        state = _merge(state, a, b).checkpoint()  # else each merge would nest in the next one's plan
     return vocab, merges
 
 

@@ -386,7 +386,7 @@ _SHINGLES = f"sw as (select doc_id, list_filter(string_split({_KEY.format('text'
 
 @query(f"with {D}, {_SHINGLES} select doc_id, cast(len(s) as bigint) as n_shingles, cast(coalesce(list_sum(s), 0) as bigint) as total from sh")
 def shingle_counts(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", dedup.shingles(T.canonical_key(F.coalesce("text", F.lit("")))).alias("s"))
+    df = dedup.shingle_sets(table(spark, sf_dir, "documents"))
     return df.select("doc_id", F.size("s").alias("n_shingles"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
