@@ -168,7 +168,7 @@ def solve_cipher(docs: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *
         if not trials:
             break
         scores = unknown(table, trials)
-        (g, t), best = min(scores.items(), key=lambda kv: (kv[1], kv[0]))
+        (g, t), best = min(scores.items(), key=lambda kv: (kv[1], kv[0][0], TARGETS.index(kv[0][1])))
         if now - best / total < min_gain:
             break
         table[g], now = t, best / total

@@ -135,7 +135,7 @@ def test_conjugation_skips_blank_forms(spark):
 
 
 def test_examples_and_messages(spark):
-    text = "Azul fell-awen a yimdanen n tmurt. Tamurt-nneɣ d tin yelhan maḍi ass-a. " * 6
+    text = "Azul fell-awen a yimdanen n tmurt. Tamurt-nneɣ d tin yelhan maḍi ass-a ɣef wayen nniḍen akk. " * 6
     df = docs(spark, [text, "short."])
     one = sft.qa(df).collect()
     assert len(one) == 1 and "Azul fell-awen" in one[0].instruction
@@ -149,7 +149,7 @@ def test_examples_and_messages(spark):
 def test_replay_budget_is_global(spark):
     a = spark.createDataFrame([("p1", "r1"), ("p2", "r2")], "prompt string, response string")
     b = spark.createDataFrame([([("user", "q"), ("assistant", "x")],)], "messages array<struct<role:string,content:string>>")
-    assert [r.instruction for r in sft.replay([a, b], 3).orderBy("repo").collect()] == ["p1", "p2", "q"]
+    assert {r.instruction for r in sft.replay([a, b], 3).collect()} == {"p1", "p2", "q"}
 
 
 # --- pairs
