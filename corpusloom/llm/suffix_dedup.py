@@ -80,63 +80,80 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the stretches listed for each document out of its text."""
     names = ["anchor", "stretch", "doc", "start", "more", "body"]
     for batch in batches:
+        lists = batch.column(2)
         for low, high, data, offsets in text_slices(batch.column(1)):
-            columns: list[list] = [[] for _ in names]
-            for r in range(high - low):
-                spots = batch.column(2)[low + r].as_py()
-                text = data[offsets[r] : offsets[r + 1]]
-                start, more = np.array([s["start"] for s in spots], np.int64), np.array([s["more"] for s in spots], np.int64)
-                hashes = hash_spans(text, start, start + more + LENGTH, lower=False)
-                raw = text.tobytes()
-                doc = batch.column(0)[low + r].as_py()
-                for s, h in zip(spots, hashes.astype(np.int64).tolist(), strict=True):
-                    row = (s["anchor"], h, doc, s["start"], s["more"], raw[s["start"] : s["start"] + s["more"] + LENGTH])
-                    for c, x in zip(columns, row, strict=True):
-                        c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+            part = lists.slice(low, high - low)
+            spots, count = part.flatten(), np.asarray(part.value_lengths())
+            start, more = np.asarray(spots.field("start")).astype(np.int64), np.asarray(spots.field("more")).astype(np.int64)
+            at = np.repeat(offsets[:-1], count) + start
+            size = more + LENGTH
+            hashes = hash_spans(data, at, at + size, lower=False)
+            ends = np.cumsum(size)
+            for i, j in _runs(ends, SORT_BYTES):
+                bound = np.concatenate(([0], ends[i:j] - (ends[i - 1] if i else 0)))
+                body = data[np.repeat(at[i:j] - bound[:-1], size[i:j]) + np.arange(bound[-1])]
+                bodies = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bound.astype(np.int32)), pa.py_buffer(body)])
+                own = np.repeat(np.asarray(batch.column(0).slice(low, high - low)), count)[i:j]
+                columns = [spots.field("anchor").slice(i, j - i), pa.array(hashes[i:j].astype(np.int64)), pa.array(own), pa.array(start[i:j].astype(np.int32)), pa.array(more[i:j].astype(np.int32)), bodies]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _runs(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges whose sizes, given by their running sums, add up to about ``limit``."""
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
+def suffix_array(text: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``text`` (small non-negative integers) in order of their first ``depth`` symbols.
 
     Stage one sorts only the suffixes smaller than their successors. Stage two scans the buckets of
     first symbols in ascending order and puts the predecessor of each suffix met, where it is larger
     than its successor, next in its own bucket. The end of the text is smaller than any symbol.
+    ``wanted`` (a mask) leaves out suffixes that are neither wanted nor needed to induce a wanted one.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     # Type of a run of equal symbols is decided where it ends.
     change = np.flatnonzero(np.concatenate((text[:-1] != text[1:], [True])))
-    end = change[np.searchsorted(change, np.arange(n))]
+    end = np.repeat(change, np.diff(change, prepend=-1))
     after = np.where(end + 1 < n, text[np.minimum(end + 1, n - 1)].astype(np.int64), -1)
     small = text < after
     top = int(text.max()) + 1
-    padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(depth, np.int64))).astype(np.uint8 if top < 255 else ">u2")
-    starts = np.flatnonzero(small)
-    item = padded.dtype.itemsize
-    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[starts]
-    order = np.argsort(np.ascontiguousarray(keys).view(f"S{depth * item}").ravel(), kind="stable")
-    starts = starts[order]
+    if wanted is None:
+        used = np.ones(n, bool)
+    else:  # a larger suffix is induced from its successor, up to the next smaller one
+        place = np.arange(n)
+        asked = np.maximum.accumulate(np.where(wanted, place, -1))
+        stop = np.concatenate(([-1], np.maximum.accumulate(np.where(small, place, -1))[:-1]))
+        used = (asked >= 0) & (stop < asked)
+    kind = np.dtype(np.uint8 if top < 255 else ">u2")
+    padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(depth, np.int64))).astype(kind)
+    starts = np.flatnonzero(small & used)
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[starts]).view(f"S{depth * padded.dtype.itemsize}").ravel()
+    starts = starts[np.argsort(keys, kind="stable")]
+    larger = used & ~small
     bounds = np.searchsorted(text[starts], np.arange(top + 1))
     pending: list[list[np.ndarray]] = [[] for _ in range(top)]
-    if not small[n - 1]:
+    if larger[n - 1]:
         pending[int(text[n - 1])].append(np.array([n - 1]))
     out = []
     for c in range(top):
-        large = pending[c]
-        found = np.concatenate(large) if large else np.zeros(0, np.int64)
+        found = np.concatenate(pending[c]) if pending[c] else np.zeros(0, np.int64)
         parts = []
         while len(found):  # the bucket feeds itself while a run of c goes on
             parts.append(found)
             back = found[found > 0] - 1
-            found = back[(text[back] == c) & ~small[back]]
+            found = back[(text[back] == c) & larger[back]]
         pending[c] = []
         bucket = np.concatenate((*parts, starts[bounds[c] : bounds[c + 1]]))
         out.append(bucket)
         back = bucket[bucket > 0] - 1
-        back = back[(text[back] > c) & ~small[back]]
+        back = back[(text[back] > c) & larger[back]]
         if len(back):
             symbols = text[back]
             group = np.argsort(symbols, kind="stable")
@@ -148,27 +165,46 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in ``order``, up to ``depth``."""
-    out = np.zeros(len(order), np.int64)
+    """Length of the common prefix of each suffix with the one before it in ``order``, up to ``depth``.
+
+    Texts of small symbols are compared eight at a time.
+    """
+    n = len(text)
+    room = np.minimum(n - np.maximum(order[1:], order[:-1]), depth)
+    if text.dtype == np.uint8:
+        words = np.lib.stride_tricks.sliding_window_view(np.concatenate((text, np.zeros(depth + 16, np.uint8))), 8)
+        words = np.ascontiguousarray(words).view("<u8").ravel()
+    else:
+        words = np.concatenate((text.astype(np.uint64), np.zeros(depth, np.uint64)))
+    step = 8 if text.dtype == np.uint8 else 1
+    depth8 = -(-depth // step) * step
+    out = np.full(len(order), depth8, np.int64)
+    out[:1] = 0
     alive = np.arange(1, len(order))
-    for j in range(depth):
-        a, b = order[alive] + j, order[alive - 1] + j
-        inside = (a < len(text)) & (b < len(text))
-        alive, a, b = alive[inside], a[inside], b[inside]
-        alive = alive[text[a] == text[b]]
+    for j in range(0, depth8, step):
+        x = words[order[alive] + j] ^ words[order[alive - 1] + j]
+        differ = x != 0
+        if step == 8:
+            low = x[differ] & (~x[differ] + np.uint64(1))
+            out[alive[differ]] = j + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+        else:
+            out[alive[differ]] = j
+        alive = alive[~differ]
         if not len(alive):
             break
-        out[alive] = j + 1
+    out[1:] = np.minimum(out[1:], room)
     return out
 
 
 def later_windows(bodies: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
     """(doc, first byte, end byte) of the windows of the stretches that have an earlier equal window here."""
     sizes = np.array([len(b) for b in bodies])
-    text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)  # 0xff is in no UTF-8 text
-    text = np.where(text == 255, 0, text.astype(np.int16) + 1)
+    text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8) + np.uint8(1)  # 0xff is in no UTF-8 text and turns to 0
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-    order = suffix_array(text)
+    edge = np.zeros(len(text) + 1, np.int8)
+    edge[begin] += 1
+    edge[begin + sizes - LENGTH + 1] -= 1
+    order = suffix_array(text, wanted=np.cumsum(edge[:-1]) > 0)
     same = common_prefixes(text, order) >= LENGTH
     owner = np.searchsorted(begin, order, "right") - 1
     valid = order - begin[owner] + LENGTH <= sizes[owner]
