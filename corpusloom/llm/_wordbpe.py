@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -16,28 +17,71 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_MARKS = b".,;:!?*#$%&|"
+#: Chunks encoded at once.
+JOIN = 8_192
+
+
 class _Pieces(dict):
+    """Chunk of bytes between white space -> token ids."""
+
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode unseen chunks. Marks at the end are a pre-token of their own if a letter or numeral
+        stands before them, so they are encoded apart; plain ASCII words need only the merge model."""
+        parts = []
+        fresh: dict[bytes, None] = {}
+        for c in chunks:
+            core = c.rstrip(_MARKS)
+            if core and (core[-1:].isalnum() or unicodedata.normalize("NFC", core.decode()).lower()[-1].isalnum()):
+                marks = c[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+            else:
+                core, marks = c, b""
+            parts.append((c, core, marks))
+            for x in (core, marks):
+                if x and x not in self:
+                    fresh[x] = None
+        model, whole = self.tokenizer.model, []
+        for x in fresh:
+            if x.isalpha():  # bytes: ASCII letters only
+                self[x] = tuple(t.id for t in model.tokenize(x.decode().lower()))
+            else:
+                whole.append(x)
+        for low in range(0, len(whole), JOIN):
+            self._learn_joined(whole[low : low + JOIN])
+        for c, core, marks in parts:
+            if c is not core or marks:
+                self[c] = self[core] + (self[marks] if marks else ())
+
+    def _learn_joined(self, chunks: list[bytes]) -> None:
+        """Encode chunks as one text and deal the ids back by their offsets."""
+        texts = [c.decode() for c in chunks]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        ends = np.searchsorted(at, starts)
+        ids = found.ids
+        for k, c in enumerate(chunks):
+            self[c] = tuple(ids[ends[k] : ends[k + 1]])
 
 
 _loaded: dict[str, _Pieces] = {}
 
 
-def encode(text: str | None, path: str) -> np.ndarray:
-    """Token ids of the whole text. Each chunk between ASCII white space is encoded once and remembered."""
+def encode_many(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Token ids of whole texts. A chunk between ASCII white space is encoded once and remembered."""
     pieces = _loaded.get(path)
     if pieces is None:
         pieces = _loaded[path] = _Pieces(path)
     if len(pieces) > CACHE_ENTRIES:
         pieces.clear()
-    return np.fromiter(chain.from_iterable(map(pieces.__getitem__, (text or "").encode().split())), np.uint32)
+    chunks = [(t or "").encode().split() for t in texts]
+    pieces.learn(list(set(chain.from_iterable(chunks)).difference(pieces)))
+    return [np.fromiter(chain.from_iterable(map(pieces.__getitem__, c)), np.uint32) for c in chunks]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import column
-from ._wordbpe import encode, word_bpe_path
+from ._wordbpe import encode_many, word_bpe_path
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -40,8 +40,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length:
             part = batch.slice(low, 512)
             rows: list[tuple] = []
             ids_out: list[np.ndarray] = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text, path), np.uint32(end_id)).astype("<u4")
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode_many(part.column(1).to_pylist(), path), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start = 0
                 for length in piece_lengths(len(ids), max_length):
                     piece = ids[start : start + length]

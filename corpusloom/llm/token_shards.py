@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._bytes import mix64
 from ._common import Scratch, column
 from ._files import open_read, open_write
-from ._wordbpe import encode, word_bpe_path
+from ._wordbpe import encode_many, word_bpe_path
 
 SEQ_LEN = 2048
 END_ID, PAD_ID = 49407, 0
@@ -83,8 +83,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, end_id: int
         for low in range(0, batch.num_rows, 256):
             some = batch.slice(low, 256)
             new = [rest]
-            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text, path), np.uint32(end_id))
+            for doc_id, ids in zip(some.column(0).to_pylist(), encode_many(some.column(1).to_pylist(), path), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 if ids.max() > 0xFFFF:
                     raise ValueError("token ids over 65,535 do not fit a 16-bit shard")
                 new.append(ids)
