@@ -1,10 +1,12 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 Documents with equal shingle sets form one class, so exact copies never meet in a join. Class
-signatures are banded; within a bucket a few centres are compared with the members that are not
-yet in the centre's component, never all pairs. A candidate pair is compared in batches of
-signature slots and dropped as soon as the posterior probability that its similarity reaches the
-threshold falls below ``miss``; survivors are verified on the full shingle sets.
+signatures are banded; a bucket's members are compared with its centre, never all pairs. A pair is
+compared in batches of signature slots and dropped as soon as the posterior probability that its
+similarity reaches the threshold falls below ``MISS``; survivors are verified on the full shingle
+sets. Members that are not linked with their centre can link with each other only over what they
+hold beside it (``_residual``), so they meet again in the small buckets of such shingles; what is
+ruled out this way is ruled out exactly.
 
 Nulls: a null or wordless text has an empty set and links with nothing. Rows that share a
 ``doc_id`` are all reported, each with the component of its own text. Null ids never name a
@@ -145,6 +147,43 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"])
 
 
+def _residual(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Buckets in which the members of a centre's bucket may still link with each other.
+
+    If x is not linked with centre c but with A, the two share a shingle outside c, or A is smaller
+    than c: were all they share in c, A would have to save more of the union than it costs of the
+    intersection. x shares at most |x & c| shingles of c with A and must share 0.8 |x| in all, so it
+    shares at least need = 0.8 |x| - |x & c| outside c; of a fixed order of those, one of the first
+    |x - c| - need + 1 is in both (prefix filter). Linked members are only partners and list all of
+    theirs. Members smaller than c, and those that could link with one inside c, meet in one more
+    bucket, which counts only if it holds a smaller one.
+    """
+    names, kinds = ["bucket", "cls", "needs"], [pa.int64(), pa.int64(), pa.bool_()]
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            keys: list[np.ndarray] = []
+            columns: list[list] = [[], []]
+            for a, b, x, y, linked in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+                c, own = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                at = np.minimum(np.searchsorted(c, own), len(c) - 1)
+                outside = own[c[at] != own]
+                shared = len(own) - len(outside)
+                need = 1 if linked else max(1, -(-percent * len(own) // 100) - shared)
+                prefix = outside[: max(0, len(outside) - need + 1)]
+                seed = np.uint64(a & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
+                rows = [mix64(prefix ^ seed)]
+                needs = [True] * len(prefix)
+                if len(own) < len(c) or not linked and 100 * shared >= percent * len(own):
+                    rows.append(mix64(np.array([seed + np.uint64(1)])))
+                    needs.append(len(own) < len(c))
+                keys.extend(rows)
+                columns[0].extend([b] * len(needs))
+                columns[1].extend(needs)
+            bucket = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *(pa.array(v, k) for v, k in zip(columns, kinds[1:], strict=True))], names)
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(cls, label): the smallest id reachable over ``edges`` (a, b); ids without an edge are absent.
 
@@ -192,55 +231,67 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, thre
 
     bands = signatures.mapInArrow(_bands, "band long, cls long")
     crowded = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = scratch.table(bands.join(crowded, "band"), "crowded")
-    weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
-    members = scratch.table(members.select("band", "cls").join(weight, "cls").select("band", "cls", "weight"), "members-0")
+    members = scratch.table(bands.join(crowded, "band").withColumnRenamed("band", "bucket"), "crowded")
+    # The member that shares most bands with others stands nearest to the middle of its group.
+    weight = members.groupBy("cls").agg(F.sum("n").alias("rank"))
+    members = scratch.table(members.select("bucket", "cls").join(weight, "cls").select("bucket", "cls", "rank"), "members-0")
     scratch.drop("crowded")
 
     least = least_matches(threshold_percent / 100)
-    edges: list[DataFrame] = []
-    labels: DataFrame | None = None
-    turn, quota = 0, 1
-    while members.limit(1).count():
-        live = members.withColumn("label", F.col("cls")) if labels is None else members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        if turn == 0:
-            # The member that shares most bands with others stands nearest to the middle of the group.
-            centre = live.groupBy("band").agg(F.max(F.struct("weight", F.negative("cls").alias("low"), "cls", "label")).alias("m"))
-            centre = centre.select("band", F.col("m.cls").alias("centre"), F.col("m.label").alias("centre_label"))
-        else:
-            groups = live.groupBy("band", "label").agg(F.count("*").alias("n"))
-            sizes = groups.groupBy("band").agg(F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
-            sizes = sizes.select("band", F.col("major.label").alias("major"), (F.col("total") - F.col("major.n")).alias("minor"))
-            live = scratch.table(live.join(sizes, "band"), f"live-{turn}")
-            centre = live.filter("label <> major").filter(F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("minor")) < quota)
-            centre = centre.select("band", F.col("cls").alias("centre"), F.col("label").alias("centre_label"))
-        centre = scratch.table(centre, f"centre-{turn}")
-        pairs = live.join(centre, "band").filter("cls <> centre and label <> centre_label")
-        pairs = pairs.select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-        if turn:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def compare(pairs: DataFrame, also: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
+        """(links, sets): verified pairs (a, b), and the shingle sets of the classes in play."""
         scored = pairs.join(signatures.toDF("a", "sig_a"), "a").join(signatures.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        likely = scratch.table(scored.mapInArrow(lambda it: _prune(it, least), "a long, b long"), f"likely-{turn}")
-        wanted = scratch.table(likely.select("a").union(likely.select("b")).toDF("cls").distinct(), f"wanted-{turn}")
+        likely = scratch.table(scored.mapInArrow(lambda it: _prune(it, least), "a long, b long"), f"likely-{name}")
+        named = likely if also is None else likely.union(also)
+        wanted = scratch.table(named.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"wanted-{name}")
         texts = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "text").join(at.join(wanted, "cls", "left_semi"), "at", "left_semi")
         sets = texts.select("text").mapInArrow(lambda it: _sets(it, shingle_words), "cls long, shingles binary")
         sets = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-        sets = scratch.table(sets, f"sets-{turn}")
+        sets = scratch.table(sets, f"sets-{name}")
         full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        found = scratch.table(full.mapInArrow(lambda it: _verify(it, threshold_percent), "a long, b long"), f"links-{turn}")
-        scratch.drop(f"sets-{turn}")
-        edges.append(found)
-        labels = components(scratch, reduce(DataFrame.union, edges), f"labels-{turn}")
-        # A centre has met its whole bucket and leaves it; a bucket of one component is done.
-        rest = (live.select("band", "cls", "weight")).join(centre.select("band", F.col("centre").alias("cls")), ["band", "cls"], "left_anti")
-        known = rest.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_bands = known.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
+        return scratch.table(full.mapInArrow(lambda it: _verify(it, threshold_percent), "a long, b long"), f"links-{name}"), sets
+
+    # Every bucket against its centre.
+    centre = members.groupBy("bucket").agg(F.max(F.struct("rank", "cls")).alias("m"), F.count("*").alias("size"))
+    pairs = members.join(centre.select("bucket", F.col("m.cls").alias("centre"), "size"), "bucket").filter("cls <> centre")
+    pairs = scratch.table(pairs.groupBy(F.col("centre").alias("a"), F.col("cls").alias("b")).agg(F.max("size").alias("size")), "pairs")
+    links, sets = compare(pairs.select("a", "b"), pairs.filter("size > 2").select("a", "b"), "0")
+    edges, labels = [links], components(scratch, links, "labels-0")
+    side = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}"))
+    known = pairs.filter("size > 2").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    known = known.withColumn("linked", F.coalesce("label_a", "a") == F.coalesce("label_b", "b"))
+    rest = known.select("a", "b", "linked").join(known.filter("not linked").select("a").distinct(), "a", "left_semi")
+    rest = rest.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b", "linked")
+    spread = scratch.table(rest.mapInArrow(lambda it: _residual(it, threshold_percent), "bucket long, cls long, needs boolean"), "spread")
+    scratch.drop("sets-0")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    alive = named(spread).groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("needs").alias("ok")).filter("x < y and ok").select("bucket")
+    members = scratch.table(spread.join(alive, "bucket", "left_semi").select("bucket", "cls").distinct(), "members-1")
+    # What may still link, in small buckets: members outside the largest component against the others.
+    turn = 1
+    while members.limit(1).count():
+        live = named(members)
+        groups = live.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        sizes = groups.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("total"))
+        sizes = sizes.select("bucket", F.col("major.label").alias("major"), (F.col("total") - F.col("major.n")).alias("minor"))
+        live = scratch.table(live.join(sizes, "bucket"), f"live-{turn}")
+        chosen = live.filter("label <> major").filter(F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("minor")) < 16**turn)
+        chosen = scratch.table(chosen.select("bucket", F.col("cls").alias("centre"), F.col("label").alias("centre_label")), f"chosen-{turn}")
+        met = live.join(chosen, "bucket").filter("label <> centre_label")
+        links, _ = compare(met.select(F.least("centre", "cls").alias("a"), F.greatest("centre", "cls").alias("b")).distinct(), None, f"{turn}")
+        if links.limit(1).count():
+            edges.append(links)
+            labels = components(scratch, reduce(DataFrame.union, edges), f"labels-{turn}")
+        # A chosen member has met its whole bucket and leaves it; a bucket of one component is done.
+        rest = live.select("bucket", "cls").join(chosen.select("bucket", F.col("centre").alias("cls")), ["bucket", "cls"], "left_anti")
+        alive = named(rest).groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
         turn += 1
-        members = scratch.table(rest.join(open_bands, "band", "left_semi"), f"members-{turn}")
-        quota = 16 ** turn
+        members = scratch.table(rest.join(alive, "bucket", "left_semi"), f"members-{turn}")
 
-    if labels is None:
-        labels = spark.createDataFrame([], "cls long, label long")
     classes = heads.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component"))
     classes = classes.join(lowest, "label").select("cls", "component", "class_size")
