@@ -1,7 +1,7 @@
 """Quality classifier: a weak-label model over heuristic labellers trains a hashed linear scorer.
 
 1. LABELLERS vote good, bad or abstain on each document.
-2. Expectation-maximisation over the counted vote patterns (at most 3**8) estimates the class prior
+2. Expectation-maximisation over the counted vote patterns (at most 3**10) estimates the class prior
    and each labeller's accuracy per class; no hand labels are read.
 3. The posteriors of a bounded sample (``SAMPLE_ROWS`` documents of smallest hash, each once) train
    a logistic scorer on hashed word-shape features by full-batch gradient steps.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._bytes import SPACE, find_words, hash_spans, mix64, text_slices
 from ._common import Scratch, column
 
-LABELLERS = ("length", "symbols", "repeated_next", "variety", "upper", "word_length", "marks", "windows")
+LABELLERS = ("length", "symbols", "repeated_next", "variety", "upper", "word_length", "marks", "windows", "letters", "tails")
 BINS = 1 << 14
 #: Bound on the documents that fit the scorer.
 SAMPLE_ROWS = 20_000
@@ -70,6 +70,7 @@ def votes_and_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     repeated = np.bincount(owner, next_same, rows) / some
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     marks = np.bincount(owner, np.isin(last, np.frombuffer(b"!?", np.uint8)), rows) / some
+    tails = np.bincount(owner, _SYMBOL[last], rows) / some
     variety, windows = np.ones(rows), np.zeros(rows)
     for r in range(rows):
         own = hashes[first[r] : first[r + 1]]
@@ -79,7 +80,7 @@ def votes_and_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
             w = mix64(own[:-3] * np.uint64(3) + own[1:-2] * np.uint64(5) + own[2:-1] * np.uint64(7) + own[3:] * np.uint64(11))
             windows[r] = 1 - len(np.unique(w)) / len(w)
     votes = [
-        _vote(n, n >= 40, n < 20),
+        _vote(n, n >= 40, n < 3),
         _vote(n, (symbols < 0.02) & (n > 0), symbols > 0.05),
         _vote(n, (repeated < 0.08) & (n > 0), repeated > 0.2),
         _vote(n, (variety > 0.35) & (n >= 20), (variety < 0.15) & (n >= 20)),
@@ -87,6 +88,8 @@ def votes_and_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         _vote(n, (mean >= 3) & (mean <= 9) & (n > 0), (mean < 2) | (mean > 14)),
         _vote(n, (marks < 0.1) & (n > 0), marks > 0.3),
         _vote(n, (windows < 0.05) & (n >= 20), windows > 0.3),
+        _vote(n, letters / chars > 0.93, letters / chars < 0.85),
+        _vote(n, (tails < 0.02) & (n > 0), tails > 0.08),
     ]
     pattern = sum(v * 3**k for k, v in enumerate(votes))
     # Features: shape of each word with runs folded, whether it repeats the one before, and coarse document statistics.
@@ -179,7 +182,7 @@ def score_documents(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataF
     keyed = source.withColumn("hash", F.xxhash64("text", F.lit(17)))
     schema = "doc_id long, hash long, pattern int, bins array<int>, weights array<float>"
     voted = scratch.table(keyed.mapInArrow(_patterns, schema).select("hash", "pattern"), "votes")
-    counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3**8 rows
+    counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3**10 rows
     patterns, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["n"] for r in counts], float)
     posterior, _ = fit_labellers(patterns, n)
     weak = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
