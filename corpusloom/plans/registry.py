@@ -404,7 +404,8 @@ _PAIRS = "bk as (select doc_id, (k - 1) // 8 as band, string_agg(cast(v as varch
 
 @query(f"with {D}, {_SHINGLES}, {_SIG}, {_PAIRS} select head, doc_id, similarity from sim")
 def lsh_candidate_pairs(spark, sf_dir):
-    return dedup.candidate_pairs(dedup.signatures(table(spark, sf_dir, "documents")))
+    _prepare(spark)
+    return dedup.candidate_pairs(dedup.signatures(table(spark, sf_dir, "documents")).checkpoint())
 
 
 def _prepare(spark: SparkSession) -> None:
