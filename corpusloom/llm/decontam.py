@@ -85,6 +85,8 @@ def calibrate(m: int, edits: int, target: float = TARGET_RECALL, trials: int = 2
                 del row[min(at, len(row) - 1)]
             else:
                 row.insert(at, np.uint64(rng.integers(1, 1 << 62)))
+        # A window is placed by one block, so it may start up to ``edits`` words before the occurrence.
+        row = list(rng.integers(1, 1 << 62, int(rng.integers(0, edits + 1))).astype(np.uint64)) + row
         row = (row + list(rng.integers(1, 1 << 62, m).astype(np.uint64)))[:m]
         windows[t] = row
     hit, walks = np.zeros(trials, bool), 0

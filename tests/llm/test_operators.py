@@ -379,7 +379,8 @@ def test_warc_members_and_broken_streams(spark, tmp_path):
     rough = warc.write_archives(pages, folder).cache()
     path = rough.first().path.removeprefix("file://")
     data = open(path, "rb").read()
-    index = warc.normalise_gzip(rough).collect()
+    own = rough.filter(rough.path == rough.first().path)
+    index = sorted(warc.normalise_gzip(own).collect(), key=lambda r: r.offset)
     whole = open(index[0].path.removeprefix("file://"), "rb").read()
     at = 0
     for r in index:
