@@ -1,15 +1,15 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
+"""Benchmark decontamination: item-sized windows from exact blocks, each checked by exact edit distance.
 
 Items and documents are read as lower-cased words of letters and digits. A document leaks an item
 of m words when some run of its words lies within floor(max_edit * m) word edits of the item.
 1. Seeds: an item is cut into edits + 1 blocks; an occurrence within that many edits leaves one
    block intact, so each hit of a block fixes an item-sized window and no occurrence is missed.
-2. Each window and the item are embedded by the CGK random walk (edit distance becomes Hamming
-   distance); tables of sampled positions are compared, and equality in any table of any walk makes
-   a candidate. ``calibrate`` measures the miss rate at the full edit distance and adds walks until
-   the target recall is reached.
-3. Candidates are verified exactly: edit distance between the item and the best run of words inside
-   the window widened by the allowed edits.
+2. Every window, widened by the allowed edits, is verified exactly: the edit distance between the item
+   and the best run of words inside it. Only windows with too few words of the item are spared that.
+3. A ``target_recall`` below 1 asks for a filter before step 2: window and item are embedded by the CGK
+   random walk (edit distance becomes Hamming distance) and must agree in a table of sampled positions
+   of some walk. ``calibrate`` adds walks until the target is reached at the full edit distance; for an
+   item whose length does not reach it, every window is verified.
 
 Items go to the executors in blocks of a bounded size, one pass over the documents for each block.
 Null texts have no words; items under ``MIN_WORDS`` words hold too little evidence and match
@@ -32,7 +32,12 @@ from ._common import Scratch, column
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
-TARGET_RECALL = 0.995
+#: 1 verifies every window; less lets the CGK filter miss the rest.
+TARGET_RECALL = 1.0
+#: Walks after which calibration gives up.
+MAX_WALKS = 256
+#: Words of window text compared at once.
+CHECK_WORDS = 1 << 18
 SAMPLE_BITS = 4
 TABLES = 24
 #: Bytes of item text sent to the executors at once.
@@ -71,7 +76,10 @@ def lsh_equal(windows: np.ndarray, item: np.ndarray, walks: int) -> np.ndarray:
 
 
 def calibrate(m: int, edits: int, target: float = TARGET_RECALL, trials: int = 200) -> int:
-    """Walks needed so that random strings at exactly ``edits`` edits share a bucket with chance ``target``."""
+    """Walks needed so that random strings at exactly ``edits`` edits share a bucket with chance ``target``.
+
+    0 where ``MAX_WALKS`` walks do not reach it: the filter cannot serve items of this length.
+    """
     rng = np.random.default_rng([m, edits, 7])
     item = rng.integers(1, 1 << 62, m).astype(np.uint64)
     windows = np.zeros((trials, m), np.uint64)
@@ -85,31 +93,36 @@ def calibrate(m: int, edits: int, target: float = TARGET_RECALL, trials: int = 2
                 del row[min(at, len(row) - 1)]
             else:
                 row.insert(at, np.uint64(rng.integers(1, 1 << 62)))
-        # A window is placed by one block, so it may start up to ``edits`` words before the occurrence.
-        row = list(rng.integers(1, 1 << 62, int(rng.integers(0, edits + 1))).astype(np.uint64)) + row
+        # A window is placed by one block, so it may start up to ``edits`` words before or after the occurrence.
+        shift = int(rng.integers(-edits, edits + 1))
+        row = row[shift:] if shift > 0 else list(rng.integers(1, 1 << 62, -shift).astype(np.uint64)) + row
         row = (row + list(rng.integers(1, 1 << 62, m).astype(np.uint64)))[:m]
         windows[t] = row
     hit, walks = np.zeros(trials, bool), 0
-    while walks < 256:
-        left = np.flatnonzero(~hit)
-        if len(left) <= (1 - target) * trials:
-            break
+    while len(left := np.flatnonzero(~hit)) > (1 - target) * trials:
+        if walks == MAX_WALKS:
+            return 0
         same = walk_embeddings(windows[left], walks) == walk_embeddings(item[None, :], walks)
         hit[left] = same[:, sample_tables(m, walks)].all(axis=2).any(axis=1)
         walks += 1
     return max(1, walks)
 
 
-def best_distance(text: np.ndarray, item: np.ndarray) -> int:
-    """Least number of word edits between ``item`` and any run of ``text``."""
-    row = np.zeros(len(text) + 1, np.int64)
-    steps = np.arange(len(text) + 1)
+def best_distances(texts: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Least number of word edits between ``item`` and any run of each row of ``texts``; padding changes nothing."""
+    steps = np.arange(texts.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(texts), len(steps)), np.int32)
     for i, word in enumerate(item, 1):
         new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != word), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, :-1] + (texts != word), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row.min(axis=1)
+
+
+def best_distance(text: np.ndarray, item: np.ndarray) -> int:
+    """Least number of word edits between ``item`` and any run of ``text``."""
+    return int(best_distances(text[None, :], item)[0])
 
 
 class _Items:
@@ -155,12 +168,18 @@ def _matches(words: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.nd
     exact = np.unique(row[(windows == target).all(axis=1)])
     best = dict.fromkeys(exact.tolist(), 0)
     rest = np.flatnonzero(~np.isin(row, exact))
-    for x in rest[lsh_equal(windows[rest], target, items.walks[m])]:
-        r, s = int(row[x]), int(start[x])
-        text = words[max(int(first[r]), s - edits) : min(int(first[r + 1]), s + m + edits)]
-        distance = best_distance(text, target)
-        if distance <= edits:
-            best[r] = min(best.get(r, distance), distance)
+    if items.walks[m]:
+        rest = rest[lsh_equal(windows[rest], target, items.walks[m])]
+    step = max(1, CHECK_WORDS // (m + 2 * edits))
+    for part in (rest[x : x + step] for x in range(0, len(rest), step)):
+        at = start[part, None] + np.arange(-edits, m + edits)
+        inside = (at >= first[row[part]][:, None]) & (at < first[row[part] + 1][:, None])
+        texts = np.where(inside, words[np.clip(at, 0, len(words) - 1)], _PAD)
+        # Within ``edits`` edits all but that many words of the item stand in the text.
+        enough = np.isin(texts, target).sum(axis=1) >= m - edits
+        for r, distance in zip(row[part[enough]].tolist(), best_distances(texts[enough], target).tolist(), strict=True):
+            if distance <= edits:
+                best[r] = min(best.get(r, distance), distance)
     yield from best.items()
 
 
@@ -204,7 +223,10 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row per leaking (doc_id, item_id): n_words of the item, least distance, similarity."""
+    """One row per leaking (doc_id, item_id): n_words of the item, least distance, similarity.
+
+    Complete unless ``target_recall`` is below 1.
+    """
     source = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), F.lower(column(docs, "text", "string")).alias("text"))
     schema = "doc_id long, item_id long, n_words long, distance long"
     walks: dict[int, int] = {}
@@ -213,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT,
         for _, words in block:
             m = len(words)
             if m not in walks:
-                walks[m] = calibrate(m, int(max_edit * m + 1e-9), target_recall)
+                walks[m] = calibrate(m, int(max_edit * m + 1e-9), target_recall) if target_recall < 1 else 0
         items = docs.sparkSession.sparkContext.broadcast(_Items(block, max_edit, walks))
         parts.append(source.mapInArrow(lambda it, items=items: _scan(it, items.value), schema))
     if not parts:

@@ -264,6 +264,29 @@ def test_walk_recall():
     assert decontam.best_distance(np.array([9, 1, 2, 4, 9]).astype(np.uint64), np.array([1, 2, 3, 4]).astype(np.uint64)) == 1
 
 
+@pytest.mark.parametrize("target", [1.0, 0.995])
+def test_decontamination_of_long_items(spark, target):
+    rng = random.Random(9)
+    items, texts, want = [], [], {}
+    for m in (59, 80, 100, 150):
+        item, edits = [f"w{m}x{i}" for i in range(m)], m // 5
+        items.append((m, " ".join(item)))
+        bounds = np.linspace(0, m, edits + 2).astype(int)
+        for trial in range(20):
+            parts = [item[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for part in parts[1:] if trial % 2 else parts[:-1]:  # one block is left intact
+                at = rng.randrange(len(part))
+                part[at : at + 1] = [] if trial % 4 < 2 else ["new", part[at]] if trial % 2 else [part[at], "new"]
+            want[len(texts), m] = edits
+            noise = [f"n{rng.randint(0, 900)}" for _ in range(2 * m)]
+            texts.append(" ".join(noise[:m] + [w for part in parts for w in part] + noise[m:]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.leaks(docs_of(spark, texts), bench, target_recall=target)
+    got = {(r.doc_id, r.item_id): r.distance for r in found.collect()}
+    assert got == want if target == 1 else len(got) >= 0.98 * len(want)
+    assert decontam.calibrate(100, 20) == 0 and decontam.calibrate(30, 6, 0.99) > 0
+
+
 # --- exact substrings
 
 
