@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -174,38 +177,118 @@ def weighted_text(parts: list[tuple[DataFrame, int]]) -> DataFrame:
 
 
 def train_bpe(docs: DataFrame, vocab_size: int, *, min_frequency: int = 2) -> tuple[list[str], list[tuple[str, str]]]:
-    """Byte-level BPE: (vocabulary, merges). Pre-token counts come from Spark; merges are counted over
-    distinct pre-tokens, distributed by pair, with one small result row a step.
+    """Byte-level BPE: (vocabulary, merges). Pre-tokens are counted by Spark; the distinct ones meet in one
+    task, which merges them with running pair counts. The driver gets one small row a merge.
 
     A step takes the most frequent pair (ties: smallest pair) until the size is reached or no pair
-    occurs ``min_frequency`` times.
+    occurs ``min_frequency`` times. Two merges that spell the same bytes share one entry.
     """
     types = docs.select(F.explode(T.bpe_pretokens(F.coalesce("text", F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    state = types.select(F.transform(F.split(F.hex(F.encode("w", "UTF-8")), "(?<=\\G..)"), lambda h: h).alias("s"), "n")
-    state = state.select(F.filter("s", lambda h: h != "").alias("s"), "n").checkpoint()
-    vocab = [f"{i:02X}" for i in range(256)]
-    merges: list[tuple[str, str]] = []
-    while len(vocab) < vocab_size:
-        pairs = state.filter(F.size("s") > 1).select(F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s")).alias("b"))).alias("p"), "n")
-        top = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "a", "b").limit(1).collect()
-        if not top:
-            break
-        a, b = top[0]["a"], top[0]["b"]
-        merges.append((a, b))
-        vocab.append(a + b)
-        state = _merge(state, a, b).checkpoint()  # else each merge would nest in the next one's plan
-    return vocab, merges
+    found = types.repartition(1).mapInArrow(lambda it: _merge_types(it, vocab_size, min_frequency), "rank long, a string, b string")
+    merges = [(r["a"], r["b"]) for r in sorted(found.collect())]
+    return list(dict.fromkeys([*_BYTES, *(a + b for a, b in merges)])), merges
+
+
+_BYTES = [f"{i:02X}" for i in range(256)]
 
 
-def _merge(state: DataFrame, a: str, b: str) -> DataFrame:
-    """Replace each a, b of the symbol sequences by their join, from the left."""
+#: Symbols indexed at once.
+INDEX_SYMBOLS = 1 << 22
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.lit(a + b)))
-        return F.when((F.size(acc) > 0) & (last == a) & (x == b), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return state.select(F.when(F.array_contains("s", a) & F.array_contains("s", b), F.aggregate("s", F.array().cast("array<string>"), step)).otherwise(F.col("s")).alias("s"), "n")
+def _merge_types(batches: Iterator[pa.RecordBatch], vocab_size: int, min_frequency: int) -> Iterator[pa.RecordBatch]:
+    """(rank, a, b) of the merges over all pre-tokens (w, n).
+
+    The words lie end to end in one array, each behind a mark; a symbol has its id at its first and its
+    last byte. A pair's places are all known once its younger symbol is made and only fall from then on,
+    so pairs below ``min_frequency`` are forgotten.
+    """
+    small = np.int16 if vocab_size < 1 << 15 else np.int32
+    parts, freq = [np.full(1, -1, small)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        data = np.frombuffer(b"".join(w.encode() + b"\xff" for w in batch.column(0).to_pylist()), np.uint8)  # no UTF-8 text holds FF
+        parts.append(np.where(data == 255, small(-1), data.astype(small)))
+        freq.append(batch.column(1).to_numpy(zero_copy_only=False))
+    sym, freq = np.concatenate(parts), np.concatenate(freq)
+    del parts
+    place = np.int32 if len(sym) < 1 << 31 else np.int64
+    alive = sym >= 0  # a symbol starts here
+    marks = np.flatnonzero(~alive).astype(place)
+    names, ids, size = list(_BYTES), {x: i for i, x in enumerate(_BYTES)}, np.ones(max(vocab_size, 256), np.int64)
+    shift = 32
+    counts: dict[int, int] = {}
+    where: dict[int, list[np.ndarray]] = defaultdict(list)
+
+    def weights(at: np.ndarray) -> np.ndarray:
+        return freq[np.searchsorted(marks, at) - 1]
+
+    def grouped(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(pair key, count, places) of each distinct pair."""
+        order = np.argsort(keys := (x.astype(np.int64) << shift) | y, kind="stable")
+        keys, at = keys[order], at[order].astype(place)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        sums = np.add.reduceat(weights(at), first) if len(first) else first
+        yield from zip(keys[first].tolist(), sums.tolist(), np.split(at, first[1:]), strict=False)
+
+    for low in range(0, len(sym) - 1, INDEX_SYMBOLS):
+        a, b = sym[low : low + INDEX_SYMBOLS], sym[low + 1 : low + INDEX_SYMBOLS + 1]
+        at = np.flatnonzero((a[: len(b)] >= 0) & (b >= 0))
+        for key, n, places in grouped(a[at], b[at], at + low):
+            counts[key] = counts.get(key, 0) + n
+            where[key].append(places)
+    heap = [(-n, names[key >> shift], names[key & 0xFFFFFFFF]) for key, n in counts.items()]
+    heapify(heap)
+    merges: list[tuple[str, str]] = []
+    while len(names) < vocab_size and heap:
+        negative, x, y = heappop(heap)
+        a, b = ids[x], ids[y]
+        key = a << shift | b
+        now = counts.get(key, 0)
+        if now != -negative:  # fallen since it was pushed
+            if 0 < now < -negative:
+                heappush(heap, (-now, x, y))
+            continue
+        if now < min_frequency:
+            break
+        merges.append((x, y))
+        new = ids.setdefault(x + y, len(names))
+        known = new < len(names)
+        if not known:
+            names.append(x + y)
+            size[new] = size[a] + size[b]
+        at = np.sort(np.concatenate(where.pop(key))).astype(np.int64)
+        del counts[key]
+        at = at[alive[at] & (sym[at] == a) & (sym[at + size[a]] == b)]
+        if a == b:  # of a run of equal symbols, every second pair from the left
+            head = np.r_[True, np.diff(at) != size[a]]
+            run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        end = at + size[new]
+        # Pairs that vanish beside the merged ones; what two neighbouring merges share counts once.
+        left, right = sym[at - 1], sym[end]
+        apart = np.r_[True, end[:-1] != at[1:]][: len(at)]
+        gone = [(left[k := (left >= 0) & apart], np.full(k.sum(), a), at[k]), (np.full((k := right >= 0).sum(), b), right[k], at[k])]
+        for old, n, _ in grouped(*(np.concatenate(c) for c in zip(*gone, strict=True))):
+            if old in counts:
+                counts[old] -= n
+                if counts[old] < min_frequency:
+                    del counts[old], where[old]
+        sym[at + size[a] - 1] = -1
+        sym[at + size[a]] = -1
+        alive[at + size[a]] = False
+        sym[at] = sym[end - 1] = new
+        if known:  # spelled by an earlier merge too: all places of the symbol
+            at = np.flatnonzero(alive & (sym == new))
+            end = at + size[new]
+        left, right = sym[at - 1], sym[end]
+        k = (left >= 0) & np.r_[True, end[:-1] != at[1:]][: len(at)]
+        made = [(left[k], np.full(k.sum(), new), at[k] - size[left[k]]), (np.full((k := right >= 0).sum(), new), right[k], at[k])]
+        for fresh, n, places in grouped(*(np.concatenate(c) for c in zip(*made, strict=True))):
+            if n >= min_frequency:
+                counts[fresh], where[fresh] = n, [places.copy()]
+                heappush(heap, (-n, names[fresh >> shift], names[fresh & 0xFFFFFFFF]))
+    columns = [pa.array(range(len(merges)), pa.int64()), *(pa.array([m[i] for m in merges], pa.string()) for i in range(2))]
+    yield pa.RecordBatch.from_arrays(columns, ["rank", "a", "b"])
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, name: str = "tokenizer") -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.profile import FIXTURE
 from corpusloom.operators import chat, dedup, evaluation, fonts, lexicon, parallel, quality, sft, splits, tokens
+from corpusloom.plans.registry import QUERIES
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import stream
 
@@ -125,6 +129,41 @@ def test_bpe_merges_by_count(spark):
     assert merges == [("61", "62"), ("61", "6162")]
 
 
+def plain_bpe(texts, size, least):
+    """Merges counted anew over all pre-tokens at each step; the texts hold ASCII letters and spaces only."""
+    words = Counter(tuple(f"{b:02X}" for b in w.encode()) for t in texts for w in re.findall(r" ?[A-Za-z]+|\s+", t or ""))
+    vocab, merges = {f"{i:02X}" for i in range(256)}, []
+    while len(vocab) < size:
+        pairs = Counter()
+        for w, n in words.items():
+            for p in zip(w, w[1:]):
+                pairs[p] += n
+        top = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if top is None or pairs[top] < least:
+            break
+        merges.append(top)
+        vocab.add("".join(top))
+        fresh = Counter()
+        for w, n in words.items():
+            out = []
+            for x in w:
+                out[-1:] = [out[-1] + x] if out and (out[-1], x) == top else [*out[-1:], x]
+            fresh[tuple(out)] += n
+        words = fresh
+    return merges
+
+
+def test_bpe_merges_read_all_documents(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aabcde") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(30)] + [None, "", "aaaaaaa aaaa"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "zz zz zz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.a, r.b) for r in QUERIES["bpe_merges"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == plain_bpe(texts, 12_000, 5) and len(got) > 12
+    vocab, merges = tokens.train_bpe(docs(spark, texts), 12_000)
+    assert merges == plain_bpe(texts, 12_000, 2) and len(vocab) == len(set(vocab)) == len({*vocab[:256], *(a + b for a, b in merges)})
+
+
 # --- instruction data
 
 
