@@ -16,12 +16,13 @@ Extra columns are ignored. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import find_words, hash_spans, mix64, shingle_set, text_slices
@@ -208,8 +209,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, threshold_percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, class_size.
+def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, threshold_percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, class_size (``with_class``: cls too).
 
     Two documents are linked when 100 * |intersection| >= threshold_percent * |union| of their
     distinct ``shingle_words``-word shingles. Banding misses a link at exactly the threshold with
@@ -297,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, thre
     classes = classes.join(lowest, "label").select("cls", "component", "class_size")
     out = signed.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), *(["cls"] if with_class else []))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -306,7 +307,24 @@ def drop_near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS,
 
     Repeated rows of one kept id and text leave one row; different texts of one id stay.
     """
-    verdict = near_duplicates(docs, shingle_words=shingle_words, threshold_percent=threshold_percent)
-    drop = verdict.filter(~F.col("kept")).select("doc_id").distinct()
+    verdict = near_duplicates(docs, shingle_words=shingle_words, threshold_percent=threshold_percent, with_class=True)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    verdict = scratch.table(verdict.groupBy(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls")).agg(F.max("kept").alias("kept")), "verdict")
+    lost = verdict.groupBy("__id").agg(F.min("kept").alias("whole"), F.max("kept").alias("part")).filter("not whole")
     keyed = docs.withColumn("__id", column(docs, "doc_id", "bigint"))
-    return keyed.join(drop, F.col("__id") == drop["doc_id"], "left_anti").drop("__id").dropDuplicates(["doc_id", "text"])
+    whole = keyed.join(lost, "__id", "left_anti")
+    # Only an id with kept and dropped texts needs the shingle sets of its rows again.
+    mixed = keyed.join(lost.filter("part"), "__id", "left_semi").withColumn("__cls", _class_column(shingle_words)(column(docs, "text", "string")))
+    mixed = mixed.join(verdict.filter("not kept"), ["__id", "__cls"], "left_anti").drop("__cls")
+    return whole.unionByName(mixed).drop("__id").dropDuplicates(["doc_id", "text"])
+
+
+def _class_column(shingle_words: int) -> Callable[[Column], Column]:
+    """The class of a text, as ``_sign`` names it."""
+
+    @F.pandas_udf("long")
+    def classes(texts: pd.Series) -> pd.Series:
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string(), from_pandas=True)], ["doc_id", "text"])
+        return pd.Series([c for out in _sign(iter([rows]), shingle_words) for c in out.column(2).to_pylist()], dtype="int64")
+
+    return classes

@@ -209,6 +209,13 @@ def test_minhash_chain_and_edges(spark):
     assert [r.doc_id for r in minhash.drop_near_duplicates(docs_of(spark, ["a b c d e f g"] * 3)).collect()] == [0]
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "other words stand in this text"), (3, None), (4, "a b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()}
+    assert got == {rows[0], rows[2], rows[3]}
+
+
 def test_minhash_prune_bound():
     least = minhash.least_matches()
     assert sorted(least) == [32, 64, 96, 128, 160] and all(least[n] < 0.8 * n for n in least)
