@@ -12,8 +12,8 @@ of m words when some run of its words lies within floor(max_edit * m) word edits
    item whose length does not reach it, every window is verified.
 
 Items go to the executors in blocks of a bounded size, one pass over the documents for each block.
-Null texts have no words; items under ``MIN_WORDS`` words hold too little evidence and match
-nothing. Repeated items and ids are all reported once each; rows with a null ``doc_id`` are
+Null texts have no words; items under ``min_words`` words, and those without any, match nothing.
+Up to 4 words allow no edit at 20 % and are matched exactly. Repeated items and ids are all reported once each; rows with a null ``doc_id`` are
 reported under null. Extra columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from ._bytes import NOT_ALNUM, find_words, hash_spans, mix64, shingle_hashes, te
 from ._common import Scratch, column
 
 MAX_EDIT = 0.2
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: 1 verifies every window; less lets the CGK filter miss the rest.
 TARGET_RECALL = 1.0
 #: Walks after which calibration gives up.
@@ -202,7 +202,7 @@ def _scan(batches: Iterator[pa.RecordBatch], items: _Items) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_words", "distance"])
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Hashed items in blocks of bounded size, streamed to the driver one partition at a time."""
     block: list[tuple[int, np.ndarray]] = []
     held = 0
@@ -211,7 +211,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]
         for _, _, data, offsets in text_slices(pa.array([row["t"]], pa.string())):
             starts, ends, _ = find_words(data, offsets, NOT_ALNUM)
             words = hash_spans(data, starts, ends)
-            if len(words) < MIN_WORDS:
+            if len(words) < max(1, min_words):
                 continue
             block.append((row["i"], words))
             held += len(data)
@@ -222,7 +222,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per leaking (doc_id, item_id): n_words of the item, least distance, similarity.
 
     Complete unless ``target_recall`` is below 1.
@@ -231,7 +231,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT,
     schema = "doc_id long, item_id long, n_words long, distance long"
     walks: dict[int, int] = {}
     parts = []
-    for block in _item_blocks(benchmark):
+    for block in _item_blocks(benchmark, min_words):
         for _, words in block:
             m = len(words)
             if m not in walks:
@@ -244,9 +244,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT,
     return found.withColumn("similarity", F.round(1 - F.col("distance") / F.col("n_words"), 6))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, max_edit: float = MAX_EDIT, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents that leak no item, columns as given."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    bad = scratch.table(leaks(docs, benchmark, max_edit=max_edit).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
+    bad = scratch.table(leaks(docs, benchmark, max_edit=max_edit, min_words=min_words).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
     keyed = docs.withColumn("__id", column(docs, "doc_id", "bigint"))
     return keyed.join(bad, F.col("__id").eqNullSafe(F.col("__bad")), "left_anti").drop("__id")

@@ -271,6 +271,16 @@ def test_walk_recall():
     assert decontam.best_distance(np.array([9, 1, 2, 4, 9]).astype(np.uint64), np.array([1, 2, 3, 4]).astype(np.uint64)) == 1
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "one"), (2, "one two"), (4, "one two three four"), (5, "..."), (6, None)], "item_id long, text string")
+    texts = ["x One, two three four y", "two one x two", "one two three five", "x"]
+    df = docs_of(spark, texts)
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(df, bench).collect()}
+    assert got == {(0, 1, 0), (0, 2, 0), (0, 4, 0), (1, 1, 0), (2, 1, 0), (2, 2, 0)}
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench, min_words=3).collect()} == {(0, 4)}
+    assert {r.doc_id for r in decontam.drop_leaks(df, bench).collect()} == {3}
+
+
 @pytest.mark.parametrize("target", [1.0, 0.995])
 def test_decontamination_of_long_items(spark, target):
     rng = random.Random(9)
