@@ -147,7 +147,7 @@ def solve_cipher(docs: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *
     and keeps the best gain; targets are used once. Words and lexicon are compared with emphatics folded.
     """
     docs = docs.withColumn("text", F.left(F.coalesce("text", F.lit("")), F.lit(sample_chars)))
-    glyphs = [r["glyph"] for r in suspects(docs, profile_freq).limit(40).collect()]
+    glyphs = [r["glyph"] for r in suspects(docs, profile_freq).collect()]
     types = docs.select(F.explode(promoted_words(F.lower("text"), "".join(glyphs))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).checkpoint()
     folded = lexicon.select(T.fold_emphatics(F.col("word")).alias("known")).distinct().checkpoint()
 

@@ -257,6 +257,15 @@ def test_cipher_search_recovers_a_glyph(spark):
     assert [r.glyph for r in fonts.suspects(docs(spark, [plain.replace("ɣ", "$") + " , . ;"]), freq).collect()] == ["$"]
 
 
+def test_cipher_tries_every_suspect(spark):
+    odd = [chr(0x2200 + i) for i in range(41)]  # mathematical signs, the last one the rarest
+    lex = spark.createDataFrame([("aɣrum",)], "word string")
+    freq = fonts.letter_profile(docs(spark, ["aɣrum"]))
+    text = " ".join(f"x{g}y" for g in odd[:-1] for _ in range(6)) + f" a{odd[-1]}rum" * 5
+    assert fonts.suspects(docs(spark, [text]), freq).count() == 41
+    assert fonts.solve_cipher(docs(spark, [text]), lex, freq, max_rounds=1)[0] == {odd[-1]: "ɣ"}
+
+
 # --- evaluation
 
 
