@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ._bytes import mix64
 from ._common import Scratch, column
@@ -168,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, seq_len: int) -> Itera
 
 def read_shards(index: DataFrame, folder: str, *, seq_len: int = SEQ_LEN) -> DataFrame:
     """``index`` plus ``input_ids``, read from the shards at the byte offsets."""
-    schema = index.schema.add("input_ids", "array<int>")
+    schema = StructType([*index.schema.fields, StructField("input_ids", ArrayType(IntegerType()))])
     return index.mapInArrow(lambda it: _read(it, folder, seq_len), schema)
 
 
