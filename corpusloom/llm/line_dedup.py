@@ -22,6 +22,8 @@ from ._common import Scratch, column
 MIN_SITES = 10
 LG_K = 12
 MARGIN = 4
+#: Tasks over which the rows of one line are dealt.
+SALTS = 8
 _STRIP = "trim(both ' \\t\\n\\u000B\\u000C\\r' from %s)"
 
 
@@ -38,14 +40,22 @@ def _lines(docs: DataFrame, site_col: str) -> DataFrame:
     return df.select("__id", "__h", "site", "pos", F.col("l.h").alias("h"), F.col("l.n").alias("n")).filter("n > 0")
 
 
+def _spread_out(keys: DataFrame) -> DataFrame:
+    """``keys`` once for every salt: a line that a third of all rows hold meets ``SALTS`` tasks, not one.
+
+    A key stands for at least as many lines as it has sites, so the copies stay below the lines they meet.
+    """
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int) -> DataFrame:
     """(h, n) of the lines on at least ``min_sites`` sites."""
     spread = lines.filter("site is not null").groupBy("h", "n").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = spread.select("h", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = max(1.0, MARGIN * 1.04 / 2 ** (LG_K / 2) * min_sites)
     spread = scratch.table(spread.filter(F.col("sites") >= min_sites - margin), "spread")
-    near = spread.filter(F.col("sites") <= min_sites + margin).select("h", "n")
-    exact = lines.join(near, ["h", "n"], "left_semi").filter("site is not null").select("h", "n", "site").distinct().groupBy("h", "n").agg(F.count("*").alias("sites"))
+    near = _spread_out(spread.filter(F.col("sites") <= min_sites + margin).select("h", "n"))
+    exact = lines.join(near, ["h", "n", "salt"], "left_semi").filter("site is not null").select("h", "n", "site").distinct().groupBy("h", "n").agg(F.count("*").alias("sites"))
     sure = spread.filter(F.col("sites") > min_sites + margin).select("h", "n")
     return scratch.table(sure.union(exact.filter(F.col("sites") >= min_sites).select("h", "n")), "boilerplate")
 
@@ -53,15 +63,18 @@ def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int) -> Dat
 def _marked(docs: DataFrame, min_sites: int, site_col: str) -> DataFrame:
     """``docs`` plus __bad: positions of the lines to remove (null if none)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, site_col)
+    salt = F.pmod(F.xxhash64("__id", "pos"), F.lit(SALTS)).cast("int")
+    lines = scratch.table(_lines(docs, site_col).withColumn("salt", salt), "lines")
     bad = boilerplate_lines(lines, scratch, min_sites)
-    held = scratch.table(lines.join(bad, ["h", "n"], "left_semi").drop("site"), "held")
+    held = scratch.table(lines.join(_spread_out(bad), ["h", "n", "salt"], "left_semi").drop("site"), "held")
+    scratch.drop("lines")
     first = held.groupBy("h", "n").agg(F.min(F.struct("__id", "__h", "pos")).alias("first"))
-    gone = held.join(first, ["h", "n"]).filter(~F.struct("__id", "__h", "pos").eqNullSafe(F.col("first")))
+    gone = held.join(_spread_out(first), ["h", "n", "salt"]).filter(~F.struct("__id", "__h", "pos").eqNullSafe(F.col("first")))
     gone = gone.groupBy("__id", "__h").agg(F.collect_set("pos").alias("__bad")).withColumnsRenamed({"__id": "__i", "__h": "__g"})
     gone = scratch.table(gone, "gone")
     keyed = docs.withColumns(_key(docs))
-    return keyed.join(gone, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left").drop("__id", "__h", "__i", "__g")
+    # A merge join at every size: the removals grow with the documents, and texts move once.
+    return keyed.join(gone.hint("merge"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left").drop("__id", "__h", "__i", "__g")
 
 
 _KEPT = "if(__bad is null, %s, array_join(filter(split(%s, '\\n'), (x, i) -> not array_contains(__bad, i)), '\\n'))"
