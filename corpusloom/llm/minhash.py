@@ -4,9 +4,11 @@ Documents with equal shingle sets form one class, so exact copies never meet in
 signatures are banded; a bucket's members are compared with its centre, never all pairs. A pair is
 compared in batches of signature slots and dropped as soon as the posterior probability that its
 similarity reaches the threshold falls below ``MISS``; survivors are verified on the full shingle
-sets. Members that are not linked with their centre can link with each other only over what they
-hold beside it (``_residual``), so they meet again in the small buckets of such shingles; what is
-ruled out this way is ruled out exactly.
+sets. The first ``FIRST_BANDS`` bands join most of a group, the others look only at buckets that
+still hold several components. What is then left is looked at beside what its whole group has in
+common (``_consensus``): two classes link over shingles outside that, or both hold nearly all of each
+other inside it (``_residual``), so they meet again in the small buckets of such shingles and sizes;
+what is ruled out this way is ruled out exactly.
 
 Nulls: a null or wordless text has an empty set and links with nothing. Rows that share a
 ``doc_id`` are all reported, each with the component of its own text. Null ids never name a
@@ -33,6 +35,14 @@ THRESHOLD_PERCENT = 80
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 BATCH = 32
+#: Bands whose buckets are compared first.
+FIRST_BANDS = 8
+#: Members whose sets tell what a group has in common.
+VOTERS = 33
+#: Members of a bucket that meet all others in the first turn; the next turn takes the square of it.
+CHOSEN = 256
+#: Relative width of the size classes in which members without rare shingles meet.
+SIZE_STEP = 1.02
 #: Stands for a null id in joins.
 NO_ID = -(1 << 63)
 #: Chosen posterior probability below which a pair is dropped.
@@ -40,12 +50,14 @@ MISS = 1e-7
 
 _SEEDS = mix64(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _MULTIPLY = (_SEEDS[:SLOTS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_KEY_SALTS = (np.uint64(0), np.uint64(0xA24BAED4963EE407))
 _ADD = (_SEEDS[SLOTS:] >> np.uint64(32)).astype(np.uint32)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """64-bit hash of a shingle set."""
-    return int((mix64(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))).astype(np.int64))
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a shingle set, as two signed halves."""
+    n = np.uint64(len(shingles))
+    return tuple(int((mix64(shingles ^ salt).sum(dtype=np.uint64) + n).astype(np.int64)) for salt in _KEY_SALTS)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -78,21 +90,21 @@ def least_matches(threshold: float = THRESHOLD_PERCENT / 100, miss: float = MISS
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "cls", "sig"]
+    names = ["doc_id", "n_shingles", "h1", "h2", "sig"]
     for batch in batches:
         ids = batch.column(0)
-        for low, high, data, offsets in text_slices(batch.column(1)):
-            starts, ends, first = find_words(data, offsets)
-            words = hash_spans(data, starts, ends)
-            sizes, keys, sigs = [], [], []
-            for r in range(high - low):
-                s = shingle_set(words[first[r] : first[r + 1]], k)
-                sizes.append(len(s))
-                keys.append(set_key(s))
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(low, high - low), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], names
-            )
+        for low, high, sets in _shingles(batch.column(1), k):
+            h1, h2 = zip(*map(set_key, sets), strict=True)
+            columns = [ids.slice(low, high - low), *(pa.array(x, pa.int64()) for x in (map(len, sets), h1, h2)), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Shingle sets of runs of rows: (first row, end row, sets)."""
+    for low, high, data, offsets in text_slices(texts):
+        starts, ends, first = find_words(data, offsets)
+        words = hash_spans(data, starts, ends)
+        yield low, high, [shingle_set(words[first[r] : first[r + 1]], k) for r in range(high - low)]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,231 +112,321 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40), sig.shape[:2])
+        band = np.broadcast_to(np.arange(BANDS, dtype=np.int32), sig.shape[:2])
+        key = (band.astype(np.uint64) + np.uint64(1)) << np.uint64(40)
         for j in range(ROWS):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j])
         ids = np.repeat(np.asarray(batch.column(0)), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(ids, pa.int64())], ["band", "cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(key.ravel().astype(np.int64)), pa.array(ids, pa.int64())], ["band", "bucket", "cls"])
+
 
+def _compare(batches: Iterator[pa.RecordBatch], least: dict[int, int], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with signatures and shingle sets -> linked pairs.
 
-def _prune(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Sequential comparison: batch after batch of slots, dropping pairs whose posterior is too low."""
+    Signatures are compared batch after batch of slots, dropping pairs whose posterior is too low; what
+    is left is verified on the full sets.
+    """
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, SLOTS) for c in (2, 3))
-        alive, matched = np.arange(n), np.zeros(n, np.int64)
-        for done in range(0, SLOTS, BATCH):
-            matched[alive] += (a[alive, done : done + BATCH] == b[alive, done : done + BATCH]).sum(axis=1)
-            alive = alive[matched[alive] >= least[done + BATCH]]
-        take = pa.array(alive)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
+        for low in range(0, batch.num_rows, 4096):
+            part = batch.slice(low, 4096)
+            n = part.num_rows
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(n, SLOTS) for c in (2, 3))
+            alive, matched = np.arange(n), np.zeros(n, np.int64)
+            for done in range(0, SLOTS, BATCH):
+                matched[alive] += (a[alive, done : done + BATCH] == b[alive, done : done + BATCH]).sum(axis=1)
+                alive = alive[matched[alive] >= least[done + BATCH]]
+            rest = part.take(pa.array(alive))
+            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(rest.column(4).to_pylist(), rest.column(5).to_pylist(), strict=True)]
+            keep = rest.filter(pa.array(linked, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["a", "b"])
+
+
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Exact test on two sets."""
+    if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+        return False
+    both = np.concatenate((u, v))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(u) + len(v) - common)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, data, offsets in text_slices(batch.column(0)):
-            starts, ends, first = find_words(data, offsets)
-            words = hash_spans(data, starts, ends)
-            out = [shingle_set(words[first[r] : first[r + 1]], k) for r in range(high - low)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in out], pa.int64()), pa.array([s.tobytes() for s in out], pa.binary())], ["cls", "shingles"])
+        for _, _, sets in _shingles(batch.column(0), k):
+            h1, h2 = zip(*map(set_key, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "shingles"])
+
 
+#: Roles of a row in a bucket of ``_residual``, as bits.
+PARTNER, SEEKER, TOKEN = 1, 2, 4
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Exact similarity on the full sets."""
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return (np.log(n) / np.log(SIZE_STEP)).astype(np.int64)
+
+
+def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, at most VOTERS shingle sets) -> the shingles that more than half of them hold (one or two: the first set)."""
     for batch in batches:
-        a_ids, b_ids = [], []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
-                continue
-            both = np.concatenate((u, v))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(u) + len(v) - common):
-                a_ids.append(a)
-                b_ids.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"])
+        out = []
+        for voters in batch.column(1).to_pylist():
+            held = [np.frombuffer(v, np.uint64) for v in voters]
+            if len(held) > 2:
+                token, n = np.unique(np.concatenate(held), return_counts=True)
+                held = [token[2 * n > len(held)]]
+            out.append(held[0].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["grp", "common"])
 
 
 def _residual(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Buckets in which the members of a centre's bucket may still link with each other.
-
-    If x is not linked with centre c but with A, the two share a shingle outside c, or A is smaller
-    than c: were all they share in c, A would have to save more of the union than it costs of the
-    intersection. x shares at most |x & c| shingles of c with A and must share 0.8 |x| in all, so it
-    shares at least need = 0.8 |x| - |x & c| outside c; of a fixed order of those, one of the first
-    |x - c| - need + 1 is in both (prefix filter). Linked members are only partners and list all of
-    theirs. Members smaller than c, and those that could link with one inside c, meet in one more
-    bucket, which counts only if it holds a smaller one.
+    """Buckets in which the members of a group may still link with each other.
+
+    Let c be the shingles the group has in common and x, A two members with a link. Then |x & A| is at
+    least T = 0.8 / 1.8 (|x| + |A|), which is 0.8 |x| or more. If they share shingles outside c, those
+    are at least need = 0.8 |x| - |x & c|, and of a fixed order of them one of the first
+    |x - c| - need + 1 is in both (prefix filter); members of the group's main component are only
+    partners and list all of theirs. If they share none, both hold T shingles of c: so |A| is at most
+    1.8 / 0.8 |x & c| - |x|, and x seeks partners in buckets of the sizes from 0.8 |x| to there.
     """
-    names, kinds = ["bucket", "cls", "needs"], [pa.int64(), pa.int64(), pa.bool_()]
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             part = batch.slice(low, 512)
-            keys: list[np.ndarray] = []
-            columns: list[list] = [[], []]
-            for a, b, x, y, linked in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+            keys: list[np.ndarray] = [np.zeros(0, np.uint64)]
+            counts, rows = [0], [(0, 0, 0, 0)]
+            for grp, cls, x, y, is_open in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
                 c, own = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(c, own), len(c) - 1)
-                outside = own[c[at] != own]
-                shared = len(own) - len(outside)
-                need = 1 if linked else max(1, -(-percent * len(own) // 100) - shared)
-                prefix = outside[: max(0, len(outside) - need + 1)]
-                seed = np.uint64(a & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
-                rows = [mix64(prefix ^ seed)]
-                needs = [True] * len(prefix)
-                if len(own) < len(c) or not linked and 100 * shared >= percent * len(own):
-                    rows.append(mix64(np.array([seed + np.uint64(1)])))
-                    needs.append(len(own) < len(c))
-                keys.extend(rows)
-                columns[0].extend([b] * len(needs))
-                columns[1].extend(needs)
-            bucket = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *(pa.array(v, k) for v, k in zip(columns, kinds[1:], strict=True))], names)
+                outside = own[c[np.minimum(np.searchsorted(c, own), len(c) - 1)] != own] if len(c) else own
+                n, shared = len(own), len(own) - len(outside)
+                seed = np.uint64(grp * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                need = max(1, -(-percent * n // 100) - shared) if is_open else 1
+                found = [(TOKEN, mix64(outside[: max(0, len(outside) - need + 1)] ^ seed))]
+                least, most = -(-percent * n // 100), (100 + percent) * shared // percent - n
+                if least <= most:
+                    found.append((PARTNER, _size_bucket(seed, _size_class(np.array([n])))))
+                    if is_open:
+                        first, last = _size_class(np.array([least, most]))
+                        found.append((SEEKER, _size_bucket(seed, np.arange(first, last + 1))))
+                for role, key in found:
+                    keys.append(key)
+                    counts.append(len(key))
+                    rows.append((cls, role, n, shared))
+            bucket = np.concatenate(keys).astype(np.int64)
+            columns = [pa.array(np.repeat(np.array(v, k), counts)) for v, k in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int64, np.int64), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *columns], ["bucket", "cls", "role", "size", "shared"])
+
+
+def _size_bucket(seed: np.uint64, size_class: np.ndarray) -> np.ndarray:
+    return mix64(mix64(size_class.astype(np.uint64) + np.uint64(1)) ^ ~seed)
+
+
+def _first_labels(both: DataFrame) -> DataFrame:
+    return both.groupBy("cls").agg(F.min("other").alias("low")).select("cls", F.least("cls", "low").alias("label"))
+
+
+def _relabel(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """One round: the least label among the neighbours, then the label of that label."""
+    near = both.join(labels.toDF("other", "seen"), "other").groupBy("cls").agg(F.min("seen").alias("seen"))
+    step = labels.join(near, "cls").select("cls", F.least("label", "seen").alias("next"))
+    return step.join(labels.toDF("next", "far"), "next", "left").select("cls", F.least("next", "far").alias("label"))
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(cls, label): the smallest id reachable over ``edges`` (a, b); ids without an edge are absent.
 
-    Minimum labels travel over edges, then labels jump to their label's label, so the number of
-    rounds follows the logarithm of the diameter. Each round's labels are a durable table.
+    Labels only fall, so an unchanged sum ends the rounds; their number follows the logarithm of the
+    diameter. Every second round's labels are a durable table.
     """
-    both = edges.union(edges.select("b", "a")).toDF("cls", "other").distinct()
-    both = scratch.table(both, f"{name}-both")
-    labels = scratch.table(both.groupBy("cls").agg(F.min("other").alias("low")).select("cls", F.least("cls", "low").alias("label")), f"{name}-0")
-    turn = 0
+    both = scratch.table(edges.union(edges.select("b", "a")).toDF("cls", "other").distinct(), f"{name}-both")
+    total = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    labels = scratch.table(_relabel(both, _first_labels(both)), f"{name}-0")
+    turn, before = 0, total(labels)
     while True:
-        near = both.join(labels.withColumnsRenamed({"cls": "other", "label": "seen"}), "other").groupBy("cls").agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "cls").select("cls", "label", F.least("label", "seen").alias("next"))
-        jump = labels.select(F.col("cls").alias("next"), F.col("label").alias("far"))
-        step = step.join(jump, "next", "left").select("cls", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("changed"))
         turn += 1
-        step = scratch.table(step, f"{name}-{turn}")
-        labels = step.select("cls", "label")
+        labels = scratch.table(_relabel(both, _relabel(both, labels)), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
-        if not step.filter("changed").limit(1).count():
+        now = total(labels)
+        if now == before:
             scratch.drop(f"{name}-both")
             return labels
+        before = now
+
+
+def _pairs_with_centre(members: DataFrame) -> DataFrame:
+    """Distinct (a, b): centre of a bucket and another member; ``members``: bucket, cls, rank.
+
+    The member that shares most buckets with others stands nearest to the middle of its group.
+    """
+    centre = members.groupBy("bucket").agg(F.max(F.struct("rank", "cls")).alias("m")).select("bucket", F.col("m.cls").alias("a"))
+    return members.join(centre, "bucket").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Buckets that hold more than one component."""
+    return members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
+
+
+class _Links:
+    """Verified links so far and a label of each class over them.
+
+    Equal labels mean one component. Until the end they come from two rounds only, so parts of one
+    component may still differ; that costs comparisons, not links.
+    """
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, percent: int):
+        self.scratch, self.sets, self.percent = scratch, sets, percent
+        self.edges: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame, name: str) -> None:
+        """Link the pairs (a, b) that stand the sequential test and the exact one, and renew the labels."""
+        least, percent = least_matches(self.percent / 100), self.percent
+        held = self.sets.select("cls", "sig", "shingles")
+        full = pairs.join(held.toDF("a", "sig_a", "set_a"), "a").join(held.toDF("b", "sig_b", "set_b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+        found = self.scratch.table(full.mapInArrow(lambda it: _compare(it, least, percent), "a long, b long"), f"links-{name}")
+        if self.edges is None or found.limit(1).count():
+            self.edges = found if self.edges is None else self.edges.union(found)
+            both = self.edges.union(self.edges.select("b", "a")).toDF("cls", "other").distinct()
+            self.labels = self.scratch.table(_relabel(both, _relabel(both, _first_labels(both))), f"labels-{name}")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def _settle(links: _Links, members: DataFrame) -> None:
+    """Compare what the centres left open: classes of several components in one bucket.
+
+    Buckets whose leading component (the one with the member of highest rank) is the same make a group.
+    """
+    scratch, percent = links.scratch, links.percent
+    live = links.named(members)
+    open_rows = scratch.table(live.join(_several(live), "bucket", "left_semi"), "open")
+    if not open_rows.limit(1).count():
+        return
+    leads = open_rows.groupBy("label").agg(F.max("rank").alias("lead"))
+    grp = open_rows.join(leads, "label").groupBy("bucket").agg(F.max(F.struct("lead", "label")).alias("m")).select("bucket", F.col("m.label").alias("grp"))
+    group = scratch.table(open_rows.join(grp, "bucket").select("grp", "cls", (F.col("label") != F.col("grp")).alias("open")).distinct(), "group")
+    # A group's voters: the member of least hash in each of VOTERS cells.
+    cell = F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(VOTERS))
+    voters = group.groupBy("grp", cell.alias("cell")).agg(F.min_by("cls", F.xxhash64("cls")).alias("cls"))
+    held = links.sets.select("cls", "shingles")
+    common = voters.join(held, "cls").groupBy("grp").agg(F.collect_list("shingles").alias("sets"))  # at most VOTERS
+    common = scratch.table(common.mapInArrow(_consensus, "grp long, common binary"), "common")
+    around = group.join(common, "grp").join(held, "cls").select("grp", "cls", "common", "shingles", "open")
+    spread = scratch.table(around.mapInArrow(lambda it: _residual(it, percent), "bucket long, cls long, role int, size long, shared long"), "spread")
+    met = spread.groupBy("bucket", "cls").agg(F.bit_or("role").alias("role"), F.max("size").alias("size"), F.max("shared").alias("shared"))
+
+    def alive(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components and, where sizes meet, a seeker and a partner."""
+        rows = links.named(rows.select("bucket", "cls", "role", "size", "shared"))
+        groups = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_or("role").alias("roles"))
+        return rows.join(groups.filter((F.col("x") < F.col("y")) & (F.col("roles") >= (PARTNER | SEEKER))).select("bucket"), "bucket", "left_semi")
+
+    live = scratch.table(alive(met), "live-1")
+    turn = 1
+    while live.limit(1).count():
+        # Every pair of two components has a member outside the bucket's largest one: those meet all others.
+        major = live.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
+        major = major.select("bucket", F.col("m.label").alias("major"), (F.col("total") - F.col("m.n")).alias("minor"))
+        minor = live.join(major, "bucket").filter("label <> major")
+        chosen = minor.filter(F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("minor")) < CHOSEN**turn)
+        chosen = scratch.table(chosen.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("cls", "label", "role", "size", "shared"))), f"chosen-{turn}")
+        # A token row meets any other, by size a seeker meets a partner; both must hold enough for a link.
+        outside = f"if(role >= {TOKEN}, least(size - shared, size_a - shared_a), 0)"
+        fits = f"(role >= {TOKEN} or (role & {SEEKER} > 0 and role_a & {PARTNER} > 0) or (role & {PARTNER} > 0 and role_a & {SEEKER} > 0)) and 100 * least(size, size_a) >= {percent} * greatest(size, size_a)"
+        fits += f" and {100 + percent} * (least(shared, shared_a) + {outside}) >= {percent} * (size + size_a)"
+        pairs = live.join(chosen, "bucket").filter(F.expr(f"label <> label_a and {fits}"))
+        links.compare(pairs.select(F.least("cls_a", "cls").alias("a"), F.greatest("cls_a", "cls").alias("b")).distinct(), f"{turn}")
+        # A chosen member has met its whole bucket and leaves it; a bucket of one component is done.
+        rest = live.join(chosen.select("bucket", F.col("cls_a").alias("cls")), ["bucket", "cls"], "left_anti")
+        turn += 1
+        live = scratch.table(alive(rest), f"live-{turn}")
+
+
+def _components_of(docs: DataFrame, scratch: Scratch, shingle_words: int, percent: int) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, h1, h2, component, class_size."""
+    signed = docs.mapInArrow(lambda it: _sign(it, shingle_words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    signed = scratch.table(signed, "signed")
+    # A class holds all documents of one shingle set.
+    classes = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+    bands = classes.select("cls", "sig").mapInArrow(_bands, "band int, bucket long, cls long")
+    crowded = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = scratch.table(bands.join(crowded, "bucket"), "met")
+    members = scratch.table(met.join(met.groupBy("cls").agg(F.sum("n").alias("rank")), "cls").select("band", "bucket", "cls", "rank"), "members")
+    scratch.drop("met")
+    # The shingle sets of classes that meet others, taken from one text each and stored once.
+    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").withColumn("at", F.coalesce("low", F.lit(NO_ID)))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "text").join(wanted.select("at").distinct().hint("merge"), "at", "left_semi")
+    sets = texts.select("text").mapInArrow(lambda it: _sets(it, shingle_words), "h1 long, h2 long, shingles binary")
+    sets = sets.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles")).join(wanted.select("h1", "h2", "cls", "size", "sig"), ["h1", "h2"])
+    sets = scratch.table(sets.select("cls", "size", "sig", "shingles"), "sets")
+
+    links = _Links(scratch, sets, percent)
+    first = scratch.table(_pairs_with_centre(members.filter(F.col("band") < FIRST_BANDS)), "pairs")
+    links.compare(first, "first")
+    live = links.named(members)
+    live = scratch.table(live.join(_several(live), "bucket", "left_semi"), "left-open")
+    again = _pairs_with_centre(live).join(first, ["a", "b"], "left_anti")
+    labels = links.labels
+    again = again.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)")
+    links.compare(again.select("a", "b"), "others")
+    _settle(links, live.select("bucket", "cls", "rank"))
+
+    links.labels = components(scratch, links.edges, "components")
+    named = links.named(classes.select("h1", "h2", "cls", "low", "class_size"))
+    lowest = named.groupBy("label").agg(F.min("low").alias("component"))
+    placed = named.join(lowest, "label").select("h1", "h2", "component", "class_size")
+    return signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, threshold_percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, class_size (``with_class``: cls too).
+    """One row per input row: doc_id, n_shingles, component_id, kept, class_size (``with_class``: h1, h2 too).
 
     Two documents are linked when 100 * |intersection| >= threshold_percent * |union| of their
     distinct ``shingle_words``-word shingles. Banding misses a link at exactly the threshold with
     probability (1 - 0.8**5)**32, about 3e-6 (less above it), and the sequential test drops it with
     at most 1e-7 a look. Buckets have no size cap.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     source = docs.select(column(docs, id_col, "bigint").alias("doc_id"), column(docs, text_col, "string").alias("text"))
-    signed = source.mapInArrow(lambda it: _sign(it, shingle_words), "doc_id long, n_shingles long, cls long, sig binary")
-    signed = scratch.table(signed, "signed")
-    # A class holds all documents of one shingle set and is named by the set's 64-bit hash.
-    heads = signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
-    heads = scratch.table(heads, "heads")
-    at = heads.select("cls", F.coalesce("low", F.lit(NO_ID)).alias("at"))
-    placed = signed.filter("n_shingles > 0").select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "sig")
-    signatures = placed.join(at, ["cls", "at"], "left_semi").groupBy("cls", "at").agg(F.first("sig").alias("sig")).select("cls", "sig")
-    signatures = scratch.table(signatures, "signatures")
-
-    bands = signatures.mapInArrow(_bands, "band long, cls long")
-    crowded = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = scratch.table(bands.join(crowded, "band").withColumnRenamed("band", "bucket"), "crowded")
-    # The member that shares most bands with others stands nearest to the middle of its group.
-    weight = members.groupBy("cls").agg(F.sum("n").alias("rank"))
-    members = scratch.table(members.select("bucket", "cls").join(weight, "cls").select("bucket", "cls", "rank"), "members-0")
-    scratch.drop("crowded")
-
-    least = least_matches(threshold_percent / 100)
-
-    def compare(pairs: DataFrame, also: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
-        """(links, sets): verified pairs (a, b), and the shingle sets of the classes in play."""
-        scored = pairs.join(signatures.toDF("a", "sig_a"), "a").join(signatures.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        likely = scratch.table(scored.mapInArrow(lambda it: _prune(it, least), "a long, b long"), f"likely-{name}")
-        named = likely if also is None else likely.union(also)
-        wanted = scratch.table(named.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"wanted-{name}")
-        texts = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "text").join(at.join(wanted, "cls", "left_semi"), "at", "left_semi")
-        sets = texts.select("text").mapInArrow(lambda it: _sets(it, shingle_words), "cls long, shingles binary")
-        sets = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-        sets = scratch.table(sets, f"sets-{name}")
-        full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        return scratch.table(full.mapInArrow(lambda it: _verify(it, threshold_percent), "a long, b long"), f"links-{name}"), sets
-
-    # Every bucket against its centre.
-    centre = members.groupBy("bucket").agg(F.max(F.struct("rank", "cls")).alias("m"), F.count("*").alias("size"))
-    pairs = members.join(centre.select("bucket", F.col("m.cls").alias("centre"), "size"), "bucket").filter("cls <> centre")
-    pairs = scratch.table(pairs.groupBy(F.col("centre").alias("a"), F.col("cls").alias("b")).agg(F.max("size").alias("size")), "pairs")
-    links, sets = compare(pairs.select("a", "b"), pairs.filter("size > 2").select("a", "b"), "0")
-    edges, labels = [links], components(scratch, links, "labels-0")
-    side = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}"))
-    known = pairs.filter("size > 2").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    known = known.withColumn("linked", F.coalesce("label_a", "a") == F.coalesce("label_b", "b"))
-    rest = known.select("a", "b", "linked").join(known.filter("not linked").select("a").distinct(), "a", "left_semi")
-    rest = rest.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b", "linked")
-    spread = scratch.table(rest.mapInArrow(lambda it: _residual(it, threshold_percent), "bucket long, cls long, needs boolean"), "spread")
-    scratch.drop("sets-0")
-
-    def named(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-    alive = named(spread).groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("needs").alias("ok")).filter("x < y and ok").select("bucket")
-    members = scratch.table(spread.join(alive, "bucket", "left_semi").select("bucket", "cls").distinct(), "members-1")
-    # What may still link, in small buckets: members outside the largest component against the others.
-    turn = 1
-    while members.limit(1).count():
-        live = named(members)
-        groups = live.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        sizes = groups.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("total"))
-        sizes = sizes.select("bucket", F.col("major.label").alias("major"), (F.col("total") - F.col("major.n")).alias("minor"))
-        live = scratch.table(live.join(sizes, "bucket"), f"live-{turn}")
-        chosen = live.filter("label <> major").filter(F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("minor")) < 16**turn)
-        chosen = scratch.table(chosen.select("bucket", F.col("cls").alias("centre"), F.col("label").alias("centre_label")), f"chosen-{turn}")
-        met = live.join(chosen, "bucket").filter("label <> centre_label")
-        links, _ = compare(met.select(F.least("centre", "cls").alias("a"), F.greatest("centre", "cls").alias("b")).distinct(), None, f"{turn}")
-        if links.limit(1).count():
-            edges.append(links)
-            labels = components(scratch, reduce(DataFrame.union, edges), f"labels-{turn}")
-        # A chosen member has met its whole bucket and leaves it; a bucket of one component is done.
-        rest = live.select("bucket", "cls").join(chosen.select("bucket", F.col("centre").alias("cls")), ["bucket", "cls"], "left_anti")
-        alive = named(rest).groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-        turn += 1
-        members = scratch.table(rest.join(alive, "bucket", "left_semi"), f"members-{turn}")
-
-    classes = heads.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    lowest = classes.groupBy("label").agg(F.min("low").alias("component"))
-    classes = classes.join(lowest, "label").select("cls", "component", "class_size")
-    out = signed.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
+    out = _components_of(source, scratch, shingle_words, threshold_percent)
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), *(["cls"] if with_class else []))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), *(["h1", "h2"] if with_class else []))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The documents whose id represents their component; columns as given.
 
-    Repeated rows of one kept id and text leave one row; different texts of one id stay.
+    Repeated rows of one id and text leave one row; different texts of one id are judged apart. A null
+    id is an id like others, but represents a component only if all its ids are null.
     """
     verdict = near_duplicates(docs, shingle_words=shingle_words, threshold_percent=threshold_percent, with_class=True)
-    scratch = Scratch(docs.sparkSession, "minhash")
-    verdict = scratch.table(verdict.groupBy(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls")).agg(F.max("kept").alias("kept")), "verdict")
-    lost = verdict.groupBy("__id").agg(F.min("kept").alias("whole"), F.max("kept").alias("part")).filter("not whole")
-    keyed = docs.withColumn("__id", column(docs, "doc_id", "bigint"))
-    whole = keyed.join(lost, "__id", "left_anti")
-    # Only an id with kept and dropped texts needs the shingle sets of its rows again.
-    mixed = keyed.join(lost.filter("part"), "__id", "left_semi").withColumn("__cls", _class_column(shingle_words)(column(docs, "text", "string")))
-    mixed = mixed.join(verdict.filter("not kept"), ["__id", "__cls"], "left_anti").drop("__cls")
-    return whole.unionByName(mixed).drop("__id").dropDuplicates(["doc_id", "text"])
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    verdict = scratch.table(verdict.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "kept"), "verdict")
+    ids = verdict.groupBy("__id").agg(F.min("kept").alias("whole"), F.max("kept").alias("part"), F.count("*").alias("n"))
+    # Ids with one kept row pass; of the others those with a kept row are looked at text by text.
+    ids = scratch.table(ids.filter("n > 1 or not whole").select("__id", "part"), "ids")
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__id", F.coalesce(column(docs, "doc_id", "bigint"), F.lit(NO_ID)))
+    whole = keyed.join(ids.hint("merge"), "__id", "left_anti").select(*given)
+    mixed = ids.filter("part")
+    if not mixed.limit(1).count():
+        return whole
+    text = column(docs, "text", "string")
+    mixed = keyed.join(mixed, "__id", "left_semi").withColumn("__key", _class_column(shingle_words)(text)).withColumns({"__h1": F.col("__key.h1"), "__h2": F.col("__key.h2"), "__t": text})
+    mixed = mixed.join(verdict.filter("kept").select("__id", "__h1", "__h2").distinct(), ["__id", "__h1", "__h2"], "left_semi")
+    return whole.unionByName(mixed.dropDuplicates(["__id", "__t"]).select(*given))
 
 
 def _class_column(shingle_words: int) -> Callable[[Column], Column]:
-    """The class of a text, as ``_sign`` names it."""
+    """The class key of a text, as ``_sign`` names it."""
 
-    @F.pandas_udf("long")
-    def classes(texts: pd.Series) -> pd.Series:
-        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string(), from_pandas=True)], ["doc_id", "text"])
-        return pd.Series([c for out in _sign(iter([rows]), shingle_words) for c in out.column(2).to_pylist()], dtype="int64")
+    @F.pandas_udf("h1 long, h2 long")
+    def classes(texts: pd.Series) -> pd.DataFrame:
+        keys = [set_key(s) for _, _, sets in _shingles(pa.array(texts, pa.string(), from_pandas=True), shingle_words) for s in sets]
+        return pd.DataFrame(keys, columns=["h1", "h2"], dtype="int64")
 
     return classes
