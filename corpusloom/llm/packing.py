@@ -40,7 +40,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length:
             part = batch.slice(low, 512)
             rows: list[tuple] = []
             ids_out: list[np.ndarray] = []
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode_many(part.column(1).to_pylist(), path), strict=True):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode_many(part.column(1), path), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start = 0
                 for length in piece_lengths(len(ids), max_length):

@@ -81,10 +81,10 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["part", "place", "docs", "body"])
 
     for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            some = batch.slice(low, 256)
+        for low in range(0, batch.num_rows, 512):
+            some = batch.slice(low, 512)
             new = [rest]
-            for doc_id, ids in zip(some.column(0).to_pylist(), encode_many(some.column(1).to_pylist(), path), strict=True):
+            for doc_id, ids in zip(some.column(0).to_pylist(), encode_many(some.column(1), path), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 if ids.max() > 0xFFFF:
                     raise ValueError("token ids over 65,535 do not fit a 16-bit shard")
