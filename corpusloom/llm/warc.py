@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, column
-from ._files import delete_file, open_read, open_write
+from ._common import Scratch, column, delete_path
+from ._files import open_read, open_write
 
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT_BYTES = 0
@@ -115,7 +115,7 @@ def _write_rough(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n"])
 
 
-def _normalise(batches: Iterator[pa.RecordBatch], drop: bool) -> Iterator[pa.RecordBatch]:
+def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rough archive -> archive of one member per record; yields the sidecar index."""
     names = ["path", "offset", "length", "record_id", "record_type", "digest"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -138,17 +138,15 @@ def _normalise(batches: Iterator[pa.RecordBatch], drop: bool) -> Iterator[pa.Rec
                         rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            if drop:
-                delete_file(rough)
 
 
-def normalise_gzip(archives: DataFrame, *, drop_source: bool = False) -> DataFrame:
+def normalise_gzip(archives: DataFrame) -> DataFrame:
     """Rewrite whole-file gzip WARC files (column ``path``) with one member per record, beside them.
 
     Returns the sidecar index: path, offset, length, record_id, record_type, digest. Memory holds one
-    record; a file that is cut short raises an error.
+    record; a file that is cut short raises an error. The sources stay, so a task can run again.
     """
-    return archives.select("path").mapInArrow(lambda it: _normalise(it, drop_source), "path string, offset long, length long, record_id string, record_type string, digest string")
+    return archives.select("path").mapInArrow(_normalise, "path string, offset long, length long, record_id string, record_type string, digest string")
 
 
 def _page(value: str | None) -> int | None:
@@ -203,7 +201,9 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, *, min_revis
     folder = folder or scratch.path("archives")
     rough = scratch.table(write_archives(pages, folder, min_revisit_bytes=min_revisit_bytes), "rough")
     n = max(1, rough.count())
-    index = scratch.table(normalise_gzip(rough.repartition(n, "path"), drop_source=True), "index")
+    index = scratch.table(normalise_gzip(rough.repartition(n, "path")), "index")
+    for row in rough.select("path").toLocalIterator():  # a row per writing task
+        delete_path(pages.sparkSession, row["path"])
     # A record's digest is taken anew from the payload that was read.
     read = read_records(index).withColumn("digest_read", F.sha1("payload")).drop("payload", "url")
     read = scratch.table(read, "read")
