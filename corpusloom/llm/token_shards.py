@@ -145,7 +145,8 @@ def write_shards(docs: DataFrame, folder: str | None = None, *, tokenizer_path:
         n += count
     placed = sequences.mapInArrow(lambda it: _slots(it, before, n, key, shard_sequences), f"shard long, slot long, {inner}, body binary")
     files = max(1, -(-n // shard_sequences))
-    dealt = placed.repartition(files, "shard").sortWithinPartitions("shard", "slot")
+    # A partition is one range of slots and holds one shard.
+    dealt = placed.repartitionById(files, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
     index = dealt.mapInArrow(lambda it: _write(it, folder, seq_len), f"shard long, slot long, byte_offset long, {inner}, crc32 long")
     index.write.mode("overwrite").parquet(f"{folder}/index")
     scratch.drop("sequences")
