@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lexicon import oov_rates
+from .tokens import fertility
 
 
 def perplexity(rows: DataFrame, *groups: str) -> DataFrame:
@@ -107,3 +111,29 @@ def corpus_token_estimate(words: Column, *, before: float = 2.75, after: float =
 
 def with_label(generations: DataFrame) -> DataFrame:
     return generations.withColumn("label", T.language_label(F.coalesce("text", F.lit(""))))
+
+
+def evaluate(losses: DataFrame, generations: DataFrame, human: DataFrame, words: DataFrame, choices: DataFrame, lexicon: DataFrame, *, special: str, base_choices: DataFrame | None = None) -> DataFrame:
+    """One row of all scores of a model, from tables of its output.
+
+    ``losses``: domain, nll, n_tokens; ``generations`` and ``human``: text; ``words``: pos, word,
+    n_tokens, n_unk of held-out text; ``choices``: scores, answer of the benchmark, ``base_choices``
+    those of the base model, for the verdict on forgetting. ``oov_human`` is the floor of ``oov``.
+    """
+    domains = perplexity(losses, "domain")
+    whole = lambda df: oov_rates(df.select("text", F.lit(0).alias("k")), lexicon, "k").select("oov")
+    parts = [
+        domains.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", "perplexity")))).alias("perplexity")),
+        perplexity_spread(domains),
+        fertility(words, special=special).select("tokens_per_word", "unk_rate"),
+        language_purity(with_label(generations)),
+        whole(generations),
+        whole(human).withColumnRenamed("oov", "oov_human"),
+        accuracy(choices).select("accuracy"),
+    ]
+    if base_choices is not None:
+        parts.append(accuracy(base_choices).select(F.col("accuracy").alias("base_accuracy")))
+    out = reduce(lambda a, b: a.join(F.broadcast(b), how="left"), parts)  # one row each
+    if base_choices is not None:
+        out = out.withColumn("forgetting", forgetting(F.col("base_accuracy"), F.col("accuracy")))
+    return out

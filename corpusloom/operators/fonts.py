@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.profile import DEFAULT, LanguageProfile
+from ..functions.profile import DEFAULT, EMPHATIC_FOLD, LanguageProfile
 from .lexicon import oov_rates
 from .quality import strip_running_heads
 
@@ -63,9 +63,15 @@ def discover_maps(spans: DataFrame, lexicon: DataFrame, *, maps: dict[str, dict[
 
     Reads the first ``sample_chars`` characters of each font, in document order.
     """
-    w = Window.partitionBy("font").orderBy("doc_id", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    sample = spans.filter("font <> ''").withColumn("__c", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter(F.col("__c") < sample_chars)
-    sample = sample.withColumn("text", F.left(F.col("text"), F.lit(sample_chars) - F.col("__c")))
+    number = dict(spans.dtypes)["doc_id"] in ("int", "bigint")
+    df = spans.filter("font <> ''").withColumn("__cell", F.floor(F.col("doc_id") / 4096) if number else F.col("doc_id"))
+    # Sums per cell of documents first: spans are ordered only in the cells that the sample reaches.
+    earlier = Window.partitionBy("font").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy("font", "__cell").agg(F.sum(F.length("text")).alias("s"))
+    cells = cells.withColumn("__b", F.coalesce(F.sum("s").over(earlier), F.lit(0))).filter(F.col("__b") < sample_chars).drop("s")
+    w = Window.partitionBy("font", "__cell").orderBy("doc_id", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    sample = df.join(cells, ["font", "__cell"]).withColumn("__c", F.col("__b") + F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter(F.col("__c") < sample_chars)
+    sample = sample.withColumn("text", F.left(F.col("text"), (F.lit(sample_chars) - F.col("__c")).cast("int")))
     tried = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(name).alias("map"), T.normalize(apply_map(F.col("text"), table), unicode_forms=False).alias("t")) for k, (name, table) in enumerate(maps.items())))
     rows = sample.select("font", F.explode(tried).alias("e")).select("font", "e.rank", "e.map", F.col("e.t").alias("text"))
     rates = oov_rates(rows, lexicon, "font", "rank", "map")
@@ -140,39 +146,62 @@ def promoted_words(text: Column, glyphs: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{cls}+(?:[-']{cls}+)*"), F.lit(0))
 
 
+def _mapped(word: Column, table: dict[str, str], glyph: Column | None = None, target: Column | None = None) -> Column:
+    """Lower-cased word with each glyph replaced once by ``table`` and, first of all, ``glyph`` by ``target``."""
+    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv)) if table else None
+
+    def one(c: Column) -> Column:
+        kept = F.coalesce(F.try_element_at(known, c), c) if known is not None else c
+        return kept if glyph is None else F.when(c == glyph, target).otherwise(kept)
+
+    return F.lower(F.array_join(F.transform(F.split(word, ""), one), ""))
+
+
 def solve_cipher(docs: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *, max_rounds: int = 14, min_gain: float = 0.002, sample_chars: int = 20_000) -> tuple[dict[str, str], float, float]:
     """Greedy search of glyph -> letters: (map, share of unknown words before, after).
 
-    Each round tries every free pair of suspect glyph and target on the weighted word types in one job
-    and keeps the best gain; targets are used once. Words and lexicon are compared with emphatics folded.
+    Each round tries every free pair of suspect glyph and target, on the weighted word types that hold
+    the glyph, in one job and keeps the best gain; targets are used once. Words and lexicon are compared
+    with emphatics folded; whether a solved glyph is an emphatic or its plain letter is settled last, on
+    exact spellings, by which the share after is counted too.
     """
     docs = docs.withColumn("text", F.left(F.coalesce("text", F.lit("")), F.lit(sample_chars)))
     glyphs = [r["glyph"] for r in suspects(docs, profile_freq).collect()]
     types = docs.select(F.explode(promoted_words(F.lower("text"), "".join(glyphs))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).checkpoint()
-    folded = lexicon.select(T.fold_emphatics(F.col("word")).alias("known")).distinct().checkpoint()
+    exact = lexicon.select(F.col("word").alias("known"), F.lit(0).alias("miss")).distinct().checkpoint()
+    folded = lexicon.select(T.fold_emphatics(F.col("word")).alias("known"), F.lit(0).alias("miss")).distinct().checkpoint()
+
+    def missed(rows: DataFrame, word: Column, against: DataFrame, name: str = "miss") -> DataFrame:
+        """``rows`` plus 1 where ``word`` is not in the lexicon ``against``, else 0."""
+        return rows.withColumn("known", word).join(against.withColumnRenamed("miss", name), "known", "left").withColumn(name, F.coalesce(name, F.lit(1))).drop("known")
 
-    def unknown(table: dict[str, str], trials: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
-        tries = [({**table, **({g: t} if g else {})}, g, t) for g, t in trials]
-        e = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(t).alias("t"), T.fold_emphatics(F.lower(apply_map(F.col("w"), m))).alias("w")) for m, g, t in tries))
-        rows = types.select("n", F.explode(e).alias("e")).select("e.g", "e.t", F.col("e.w").alias("known"), "n").groupBy("g", "t", "known").agg(F.sum("n").alias("n"))
-        miss = rows.join(folded, "known", "left_anti").groupBy("g", "t").agg(F.sum("n").alias("miss")).collect()  # one row a trial
-        return {(g, t): 0 for g, t in trials} | {(r["g"], r["t"]): r["miss"] for r in miss}
+    def unknown(table: dict[str, str], against: DataFrame, fold: bool) -> int:
+        word = _mapped(F.col("w"), table)
+        return missed(types, T.fold_emphatics(word) if fold else word, against).agg(F.sum(F.col("n") * F.col("miss"))).first()[0]
 
     total = types.agg(F.sum("n")).first()[0] or 0
     if not total:
         return {}, 1.0, 1.0
     table: dict[str, str] = {}
-    before = now = unknown({}, [("", "")])[("", "")] / total
+    before = unknown({}, folded, True) / total
     for _ in range(max_rounds):
-        trials = [(g, t) for g in glyphs if g not in table for t in TARGETS if t not in table.values()]
-        if not trials:
+        free = [(g, t, k) for g in glyphs if g not in table for k, t in enumerate(TARGETS) if t not in table.values()]
+        if not free:
             break
-        scores = unknown(table, trials)
-        (g, t), best = min(scores.items(), key=lambda kv: (kv[1], kv[0][0], TARGETS.index(kv[0][1])))
-        if now - best / total < min_gain:
+        trials = docs.sparkSession.createDataFrame(free, "g string, t string, k int")
+        now = missed(types, T.fold_emphatics(_mapped(F.col("w"), table)), folded, "old")
+        held = now.withColumn("g", F.explode(F.array_distinct(F.split("w", "")))).join(F.broadcast(trials), "g")  # glyphs times targets
+        held = missed(held, T.fold_emphatics(_mapped(F.col("w"), table, F.col("g"), F.col("t"))), folded, "new")
+        gain = held.groupBy("g", "k", "t").agg(F.sum(F.col("n") * (F.col("old") - F.col("new"))).alias("gain"))
+        best = gain.orderBy(F.desc("gain"), "g", "k").first()
+        if best is None or best["gain"] <= 0 or best["gain"] / total < min_gain:
             break
-        table[g], now = t, best / total
-    return table, before, now
+        table[best["g"]] = best["t"]
+    for glyph, target in list(table.items()):
+        plain = EMPHATIC_FOLD.get(target)
+        if plain and unknown(table | {glyph: plain}, exact, False) < unknown(table, exact, False):
+            table[glyph] = plain
+    return table, before, unknown(table, exact, False) / total
 
 
 def solve_fonts(spans: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *, min_chars: int = 2_000, min_gain: float = 0.03) -> dict[str, dict[str, str]]:

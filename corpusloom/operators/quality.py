@@ -114,11 +114,12 @@ def strip_running_heads(docs: DataFrame, *, min_repeats: int = 5, max_length: in
     Works inside each row: a document's lines never leave it.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    df = docs.withColumn("__l", lines).withColumn("__s", F.transform("__l", T.strip))
-    counts = F.transform(F.array_distinct("__s"), lambda d: F.struct(d.alias("k"), F.size(F.filter("__s", lambda x: x == d)).alias("n")))
-    df = df.withColumn("__heads", F.when(F.size(F.array_distinct("__s")) < F.size("__s"), F.transform(F.filter(counts, lambda c: (c["n"] >= min_repeats) & (F.length(c["k"]) >= 1) & (F.length(c["k"]) <= max_length)), lambda c: c["k"])).otherwise(F.array().cast("array<string>")))
+    df = docs.withColumn("__l", lines).withColumn("__s", F.transform("__l", T.strip)).withColumn("__o", F.array_sort("__s"))
+    # In sorted order a line that stands ``min_repeats`` times equals the one so many places on.
+    often = F.filter("__o", lambda x, i: F.coalesce(x == F.get("__o", i + (min_repeats - 1)), F.lit(False)) & F.length(x).between(1, max_length))
+    df = df.withColumn("__heads", F.array_distinct(often))
     kept = F.filter("__l", lambda x: ~x.rlike(r"^\s*\p{Nd}{1,4}\s*$") & ~F.array_contains(F.col("__heads"), T.strip(x)))
-    return df.withColumn("text", F.array_join(kept, "\n")).drop("__l", "__s", "__heads")
+    return df.withColumn("text", F.array_join(kept, "\n")).drop("__l", "__s", "__o", "__heads")
 
 
 def residual_audit(docs: DataFrame, profile: LanguageProfile = DEFAULT) -> DataFrame:

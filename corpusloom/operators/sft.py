@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.profile import DEFAULT, LanguageProfile
+from .parallel import round_trip_filter
 
 # Instruction templates, system prompt and tense names of the target language.
 SYSTEM = "Kečč d amɛiwen aseklan i yessawalen taqbaylit."
@@ -103,8 +104,10 @@ def conjugation(verbs: DataFrame, limit: int = 8_000) -> DataFrame:
 
     forms = [F.struct(F.lit(k).alias("k"), F.lit(name).alias("tense"), body(c).alias("body")) for k, (c, name) in enumerate(TENSES.items()) if c in kinds]
     df = verbs.select(F.col("doc_id"), lemma.alias("verb"), F.filter(F.array(*forms), lambda f: ~T.is_blank(f["body"])).alias("forms")).filter("verb <> ''")
+    # Each verb left gives a form or more, so the first ``limit`` of them hold all that can pass.
     before = F.coalesce(F.sum(F.size("forms")).over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.filter(F.size("forms") > 0).withColumn("before", before).filter(F.col("before") < limit).select("doc_id", "verb", F.explode("forms").alias("f"))
+    df = df.filter(F.size("forms") > 0).orderBy("doc_id").limit(limit)
+    df = df.withColumn("before", before).filter(F.col("before") < limit).select("doc_id", "verb", F.explode("forms").alias("f"))
     return df.select(*_example("conjugate", instruction("conjugate", F.concat_ws("|", F.col("doc_id").cast("string"), F.col("f.k").cast("string")), verb=F.col("verb"), tense=F.col("f.tense")), F.col("f.body"), F.lit("verbs")))
 
 
@@ -146,21 +149,32 @@ def assemble(parts: list[DataFrame], *, seed: int = SEED, max_val: int = 2_000)
     return df.join(F.broadcast(last)).withColumn("split", F.when(F.col("order") <= F.col("last"), "val").otherwise("train")).drop("last")
 
 
+def translated(rows: DataFrame, *, source: str = "dolly", **filters) -> DataFrame:
+    """Examples of machine-translated instructions that survive the round trip.
+
+    ``rows``: doc_id, prompt and answer in the target language, embeddings emb_a of the original and
+    emb_b of the back-translated answer, maybe an out-of-lexicon rate (``oov_col``). The translations
+    and embeddings are input: no model runs here.
+    """
+    kept = round_trip_filter(rows, **filters).filter("keep")
+    return kept.select(*_example("translated", F.col("prompt"), F.col("answer"), F.lit(source)))
+
+
 def replay_rows(n_examples: int, fraction: float = 0.2) -> int:
     """Replay rows that make up ``fraction`` of the mix."""
     return int(n_examples * fraction / (1 - fraction))
 
 
 def replay(repos: list[DataFrame], n: int) -> DataFrame:
-    """First n (instruction, response) rows over the repositories in order; one may use the whole budget."""
+    """First n (instruction, response) rows over the repositories, each in its own order; one may use the whole budget."""
     out = None
     for k, df in enumerate(repos):
         cols = set(df.columns)
         ask = [F.col(c) for c in ("prompt", "inputs", "instruction") if c in cols] + ([F.try_element_at("messages", F.lit(1))["content"]] if "messages" in cols else [])
         answer = [F.col(c) for c in ("completion", "targets", "response", "output") if c in cols] + ([F.try_element_at("messages", F.lit(2))["content"]] if "messages" in cols else [])
-        part = df.select(F.lit(k).alias("repo"), F.coalesce(*ask).alias("instruction"), F.coalesce(*answer).alias("response")).filter(~T.is_blank(F.col("instruction")) & ~T.is_blank(F.col("response")))
+        part = df.select(F.lit(k).alias("repo"), F.monotonically_increasing_id().alias("__at"), F.coalesce(*ask).alias("instruction"), F.coalesce(*answer).alias("response")).filter(~T.is_blank(F.col("instruction")) & ~T.is_blank(F.col("response")))
         out = part if out is None else out.union(part)
-    return out.orderBy("repo").limit(n)
+    return out.orderBy("repo", "__at").limit(n).drop("__at")
 
 
 def mix_report(examples: DataFrame) -> DataFrame:

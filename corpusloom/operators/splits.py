@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import hash_int
+from .ranking import with_rank
 
 SEED = 1337
 
@@ -18,12 +19,23 @@ def hash_order(seed: int, *ids: Column) -> list[Column]:
 
 def stratified_split(docs: DataFrame, *, val_frac: float = 0.01, test_frac: float = 0.01, min_eval: int = 50, seed: int = SEED) -> DataFrame:
     """doc_id, source, split. Each source gives max(min(min_eval, n // 10), int(n * frac)) documents
-    to val and to test, or none where that would take all."""
+    to val and to test, or none where that would take all.
+
+    A source's hashes fall in 65,536 cells; their sizes tell which cells hold the smallest hashes, and
+    rows are ranked inside those cells only, so a source with a third of all rows is not one task.
+    """
+    key, order = hash_order(seed, F.col("doc_id"))
+    keyed = docs.select("doc_id", "source", key.alias("__h")).withColumn("__cell", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
     part = Window.partitionBy("source")
-    df = docs.select("doc_id", "source").withColumn("n", F.count("*").over(part)).withColumn("k", F.row_number().over(part.orderBy(*hash_order(seed, F.col("doc_id")))))
+    cells = keyed.groupBy("source", "__cell").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(part))
+    cells = cells.withColumn("before", F.coalesce(F.sum("c").over(part.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     floor = F.least(F.lit(min_eval), F.floor(F.col("n") / 10))
-    df = df.withColumn("v", F.greatest(floor, F.floor(F.col("n") * val_frac))).withColumn("t", F.greatest(floor, F.floor(F.col("n") * test_frac)))
-    split = F.when(F.col("v") + F.col("t") >= F.col("n"), "train").when(F.col("k") <= F.col("v"), "val").when(F.col("k") <= F.col("v") + F.col("t"), "test").otherwise("train")
+    cells = cells.withColumn("v", F.greatest(floor, F.floor(F.col("n") * val_frac))).withColumn("t", F.greatest(floor, F.floor(F.col("n") * test_frac)))
+    cells = cells.filter((F.col("v") + F.col("t") < F.col("n")) & (F.col("before") < F.col("v") + F.col("t")))
+    cells = cells.select(F.col("source").alias("__s"), F.col("__cell").alias("__c"), "before", "v", "t")
+    df = keyed.join(cells, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c")), "left")
+    df = df.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("source", "__cell").orderBy("__h", order)))
+    split = F.when(F.col("k") <= F.col("v"), "val").when(F.col("k") <= F.col("v") + F.col("t"), "test").otherwise("train")
     return df.select("doc_id", "source", split.alias("split"))
 
 
@@ -41,19 +53,25 @@ def weighted_copies(docs: DataFrame, weights: DataFrame, *, seed: int = SEED) ->
 def block_split(items: DataFrame, *, block: int, fraction: float, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """items plus ``split``: max(1, round(blocks * fraction)) hash-chosen blocks of consecutive ids are val."""
     df = items.withColumn("__block", F.floor(F.col(id_col) / block))
-    blocks = df.select("__block").distinct()
-    order = blocks.withColumn("__rank", F.row_number().over(Window.orderBy(*hash_order(seed, F.col("__block")))))
-    wanted = blocks.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction))).alias("__wanted"))
-    chosen = order.join(F.broadcast(wanted)).filter("__rank <= __wanted").select("__block", F.lit("val").alias("split"))  # one row
+    ranked = with_rank(df.select("__block").distinct(), *hash_order(seed, F.col("__block")), name="__rank")
+    wanted = ranked.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction))).alias("__wanted"))
+    chosen = ranked.join(F.broadcast(wanted)).filter("__rank <= __wanted").select("__block", F.lit("val").alias("split"))  # one row
     return df.join(chosen, "__block", "left").withColumn("split", F.coalesce("split", F.lit("train"))).drop("__block")
 
 
 def sequential_split(items: DataFrame, fraction: float = 0.9, id_col: str = "doc_id") -> DataFrame:
-    """The first ``fraction`` of the items in id order train, the rest validate."""
-    bound = items.agg(F.floor(F.count("*") * fraction).alias("__n"))
-    cut = items.select(id_col).orderBy(id_col)
-    ranked = cut.withColumn("__k", F.row_number().over(Window.orderBy(id_col)))
-    return items.join(ranked, id_col).join(F.broadcast(bound)).withColumn("split", F.when(F.col("__k") <= F.col("__n"), "train").otherwise("val")).drop("__k", "__n")
+    """The first ``fraction`` of the items in id order train, the rest validate.
+
+    Ids are counted by range; only the range with the cut is ordered. Rows of one id stay together.
+    """
+    ranged = items.withColumn("__range", F.floor(F.col(id_col) / 4096))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.orderBy("__range"))
+    bound = items.agg(F.floor(F.count("*") * fraction).alias("n"))
+    cut = sizes.withColumn("upto", upto).join(F.broadcast(bound)).filter("upto >= n and upto - c < n").select("__range", (F.col("n") - F.col("upto") + F.col("c")).alias("k"))  # one row each
+    inside = ranged.join(F.broadcast(cut), "__range").withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(id_col)))
+    last = inside.filter("__k = k").agg(F.max(id_col).alias("__last"))
+    return items.join(F.broadcast(last)).withColumn("split", F.when(F.col(id_col) <= F.col("__last"), "train").otherwise("val")).drop("__last")  # one row
 
 
 def first_per_group(docs: DataFrame, k: int, group: str = "source", order: str = "doc_id") -> DataFrame:

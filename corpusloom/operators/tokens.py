@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .ranking import with_rank
 
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 MASK = -100
@@ -22,7 +23,7 @@ MASK = -100
 def vocabulary(docs: DataFrame, min_freq: int = 2) -> DataFrame:
     """token, n, idx: tokens seen at least ``min_freq`` times, numbered from 4 by falling count, then token."""
     counts = docs.select(F.explode(T.simple_tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_freq)
-    return counts.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 3)
+    return with_rank(counts, F.desc("n"), F.col("token"), name="idx").withColumn("idx", (F.col("idx") + 3).cast("int"))
 
 
 def encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -90,6 +91,18 @@ def stream_with_separator(sequences: DataFrame, separator: int) -> DataFrame:
     return df.withColumn("ids", F.when(F.col("doc_id") == F.col("__last"), F.concat(ids, F.array(F.lit(separator)))).otherwise(ids)).drop("__last")
 
 
+def block_streams(messages: DataFrame, split: DataFrame, separator: int) -> DataFrame:
+    """split, doc_id, ids, n_messages: the separated stream of each split's messages (doc_id, ids).
+
+    ``split``: doc_id, split, as ``block_split`` gives. Messages keep their order; ``n_messages`` counts those of the split.
+    """
+    df = messages.join(split.select("doc_id", "split"), "doc_id")
+    ends = df.groupBy("split").agg(F.max("doc_id").alias("__last"), F.count("*").alias("n_messages"))
+    ids = F.concat(F.array(F.lit(separator)), F.col("ids"))
+    df = df.join(F.broadcast(ends), "split")  # a row per split
+    return df.select("split", "doc_id", F.when(F.col("doc_id") == F.col("__last"), F.concat(ids, F.array(F.lit(separator)))).otherwise(ids).alias("ids"), "n_messages")
+
+
 def shifted_windows(stream: DataFrame, length: int) -> DataFrame:
     """window, x, y: consecutive windows of the stream (doc_id, ids), y one id later; n = (total - 1) // length."""
     df = stream_positions(stream).filter(F.size("ids") > 0)
@@ -292,15 +305,22 @@ def _merge_types(batches: Iterator[pa.RecordBatch], vocab_size: int, min_frequen
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, name: str = "tokenizer") -> DataFrame:
-    """pos, word, n_tokens, n_unk of the words of the documents under a tokenizer file."""
+    """pos, word, n_tokens, n_unk of the words of the documents under a tokenizer file.
+
+    Distinct words are encoded once each; ``n_unk`` counts the tokenizer's unknown token, if it has one.
+    """
 
-    @F.pandas_udf("int")
-    def size(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n_tokens int, n_unk int")
+    def size(words: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
+        mark = getattr(tok.model, "unk_token", None)
+        unknown = tok.token_to_id(mark) if mark else None
         for w in words:
-            yield pd.Series([len(e.ids) for e in tok.encode_batch(w.tolist(), add_special_tokens=False)], dtype="int32")
+            ids = [e.ids for e in tok.encode_batch(w.tolist(), add_special_tokens=False)]
+            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "n_unk": [x.count(unknown) if unknown is not None else 0 for x in ids]}, dtype="int32")
 
     df = docs.select(F.posexplode(T.words(F.coalesce("text", F.lit("")))).alias("pos", "word"))
-    return df.select("pos", "word", size("word").alias("n_tokens"), F.lit(0).alias("n_unk"), F.lit(name).alias("name"))
+    sized = df.select("word").distinct().select("word", size("word").alias("s"))
+    return df.join(sized, "word").select("pos", "word", "s.n_tokens", "s.n_unk", F.lit(name).alias("name"))

@@ -6,7 +6,9 @@ import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
@@ -80,29 +82,39 @@ def special_share(df: DataFrame, column: str, profile: LanguageProfile = DEFAULT
     return head.agg(F.coalesce(F.try_divide(F.sum("s").cast("double"), F.sum("n")), F.lit(0.0)).alias("share"))
 
 
+def _place() -> list[Column]:
+    """Where a row of a file scan stands: file, block of the file, row."""
+    return [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s"), F.monotonically_increasing_id().alias("__r")]
+
+
+def _first_rows(placed: DataFrame, n: int, *before: str) -> DataFrame:
+    """The first ``n`` rows by ``_place``."""
+    return placed.orderBy(*before, "__f", "__s", "__r").limit(n)
+
+
 def load_source(spark: SparkSession, source: Source, *, limit: int | None = None, profile: LanguageProfile = DEFAULT, check_language: bool = True) -> DataFrame | None:
     """(source, text) of one source; None, with a warning, where it can't be read or is off-language.
 
     Several files are read one by one, since their schemas may differ. Blank texts are dropped.
+    ``limit`` takes the first rows in order of files and of places in them, the same in every run.
     """
     try:
         out = None
-        for path in source.data_files or (source.path,):
+        for k, path in enumerate(source.data_files or (source.path,)):
             df = read_any(spark, path)
             if source.pair_cols and "translation" in df.columns:
                 text = F.coalesce(*(F.col(f"translation.{k}") for k in (source.pair_cols[1], "kab") if k in df.schema["translation"].dataType.names))
             else:
                 text = F.col(text_column(df, source.pair_cols[1] if source.pair_cols else source.text_col))
-            part = df.select(F.lit(source.key).alias("source"), text.alias("text"))
+            part = df.select(F.lit(source.key).alias("source"), text.alias("text"), F.lit(k).alias("__k"), *_place())
             out = part if out is None else out.unionByName(part)
         out = out.filter(~T.is_blank(F.col("text")))
-        if limit:
-            out = out.limit(limit)
+        out = (_first_rows(out, limit, "__k") if limit else out).select("source", "text")
         if check_language and special_share(out, "text", profile).first()["share"] < 0.01:
             log.warning("%s skipped: its text column is not in the language", source.key)
             return None
         return out
-    except Exception as e:  # one unreadable source must not end a build
+    except (AnalysisException, Py4JJavaError, ValueError) as e:  # an unreadable source or one without text must not end a build
         log.warning("%s skipped: %s", source.key, str(e)[:200])
         return None
 
@@ -121,7 +133,7 @@ def read_documents(spark: SparkSession, path: str, limit: int | None = None) ->
     """JSON-lines documents (doc_id, text, source, n_words) with a fixed schema."""
     schema = D.StructType([D.StructField("doc_id", D.LongType()), D.StructField("text", D.StringType()), D.StructField("source", D.StringType()), D.StructField("n_words", D.LongType())])
     df = spark.read.schema(schema).json(path)
-    return df.limit(limit) if limit else df
+    return _first_rows(df.select("*", *_place()), limit).select(*df.columns) if limit else df
 
 
 def chunk_text(files: DataFrame, *, max_words: int = 400) -> DataFrame:
@@ -149,7 +161,7 @@ def read_lines(spark: SparkSession, path: str, *, limit: int | None = None) -> D
     """Non-blank lines of plain or gzip text; ``limit`` counts lines read, blank ones too."""
     df = spark.read.text(path)
     if limit:
-        df = df.limit(limit)
+        df = _first_rows(df.select("*", *_place()), limit).select("value")
     return df.filter(~T.is_blank(F.col("value")))
 
 
@@ -167,7 +179,7 @@ def find_files(spark: SparkSession, roots: list[str], *names: str) -> str | None
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """PDF spans (doc_id, seq, page, font, text) of ``path``/*.pdf.
+    """PDF spans (doc_id, seq, page, font, text) of ``path``/*.pdf; a document is named by its path.
 
     Needs a PDF library on the executors; tables of spans are the contract of the decoders.
     """
@@ -188,7 +200,7 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
                                 seq += 1
                             rows.append((name, seq, number, "", "\n"))
                             seq += 1
-            yield pd.DataFrame(rows, columns=["doc", "seq", "page", "font", "text"])
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "page", "font", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select("path", "content").mapInPandas(spans, "doc string, seq long, page int, font string, text string")
+    return files.select("path", "content").mapInPandas(spans, "doc_id string, seq long, page int, font string, text string")
