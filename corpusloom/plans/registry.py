@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.profile import ADHOC_MARKERS, CLITICS, DEFAULT, EMPHATIC_FOLD, FIXTURE, LIGATURES, PUNCTUATION_EXPAND, LanguageProfile
+from ..functions.profile import ADHOC_MARKERS, CLITICS, DEFAULT, EMPHATIC_FOLD, FIXTURE, LIGATURES, LOOK_ALIKES, PUNCTUATION_EXPAND, LanguageProfile
 from ..operators import chat, dedup, evaluation, fonts, lexicon, parallel, quality, sft, splits, tokens
-from ..sources import readers
+from ..operators.ranking import ensure_checkpoint_dir
+from ..sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,12 +153,19 @@ def language_verdicts(spark, sf_dir):
     return quality.with_language_reason(_judged(spark, sf_dir), FIXTURE).select("doc_id", "reject_reason")
 
 
+@query(JUDGED["fixture"] + " select cast(sum(n) as bigint) as seen, cast(coalesce(sum(n) filter (where reject_reason is null), 0) as bigint) as kept, string_agg(reject_reason || '=' || n, ',' order by reject_reason) as rejected from (select reject_reason, count(*) as n from verdict group by 1)")
+def reject_reason_counts(spark, sf_dir):
+    out = quality.reason_counts(_judged(spark, sf_dir))
+    told = F.transform(F.map_entries("rejected"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("seen", "kept", F.array_join(told, ",").alias("rejected"))
+
+
 @query(JUDGED["fixture"] + " select coalesce(source, 'TOTAL') as source, count(*) as documents, cast(sum(n_words) as bigint) as words from m group by rollup(source)")
 def union_sources_rollup(spark, sf_dir):
     return quality.totals_rollup(_judged(spark, sf_dir))
 
 
-def _normal_sql(t: str) -> str:
+def _normal_sql(t: str, nfc: bool = True) -> str:
     """Normalisation for texts without words broken over lines."""
     fold = T.fold_table()
     one = {k: v for k, v in fold.items() if v}
@@ -173,7 +181,17 @@ def _normal_sql(t: str) -> str:
     t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
     t = f"regexp_replace({t}, '[ \\t]*\\n[ \\t]*', chr(10), 'g')"
     t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return strip_sql(f"nfc_normalize({t})")
+    return strip_sql(f"nfc_normalize({t})" if nfc else t)
+
+
+_CLEAN = f"d as (select doc_id, source, lang, {_normal_sql('nfc_normalize(raw)')} as text from (select *, coalesce(text, '') as raw from documents))"
+
+
+@query(f"with {_CLEAN}, {metrics_sql(DEFAULT)} select doc_id, md5(text) as digest, reject_reason from verdict")
+def clean_documents(spark, sf_dir):
+    """Normalisation and ladder in one pass."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return quality.clean_documents(docs).select("doc_id", F.md5("text").alias("digest"), "reject_reason")
 
 
 @query(f"with {D} select doc_id, {_normal_sql('nfc_normalize(text)')} as text from d")
@@ -194,9 +212,8 @@ def strip_residual(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_residual(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query()
+@query(f"with {D}, n as (select text as raw, {_normal_sql('nfc_normalize(text)')} as out from d) select cast(sum(length(raw)) as bigint) as chars_in, cast(sum(length(out)) as bigint) as chars_out, cast(sum({count_sql('raw', T.class_of(''.join(LOOK_ALIKES.values())))}) as bigint) as folded, cast(sum({count_sql('out', '[^' + _CANON[1:])}) as bigint) as residual, sum({count_sql('out', '[^' + _CANON[1:])}) = 0 as is_clean from n")
 def normalization_report(spark, sf_dir):
-    """NFC inside; checked by tests."""
     return quality.normalization_report(table(spark, sf_dir, "documents"))
 
 
@@ -278,7 +295,10 @@ def running_header_strip(spark, sf_dir):
     return quality.strip_running_heads(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
-@query()
+_PARTS = rf"a as (select doc_id as key, list_filter(list_transform(regexp_split_to_array(text, '\n[\s\p{{Z}}]*\n'), lambda x: {strip_sql('x')}), lambda x: x <> '') as paras, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') as lines from d), c as (select key, case when len(paras) < greatest(2, len(lines) // 20) then lines else paras end as p from a), e as (select key, unnest(p) as p, unnest(range(len(p))) as part from c), cw as (select *, regexp_split_to_array(p, '[\s\p{{Z}}]+') as w from e), ck as (select *, unnest(range(case when len(w) > 400 then (len(w) + 399) // 400 else 1 end)) as chunk from cw)"
+
+
+@query(f"with {D}, {_PARTS} select key, part, chunk, case when len(w) > 400 then array_to_string(w[chunk * 400 + 1:chunk * 400 + 400], ' ') else p end as text from ck")
 def chunk_local_text(spark, sf_dir):
     return readers.chunk_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
 
@@ -317,6 +337,14 @@ def oov_rate_by_source(spark, sf_dir):
     return lexicon.oov_rates(table(spark, sf_dir, "documents"), _benchmark_lexicon(spark, sf_dir), "source").withColumn("oov", F.round("oov", 9))
 
 
+@query(JUDGED["fixture"] + f", {_TOK}, {_LEX}, rate as (" + _OOV.format(k="doc_id") + f") select verdict.doc_id, coalesce(reject_reason, case when rate.oov > {FIXTURE.max_oov} then 'high_oov' end) as reject_reason from verdict join rate on rate.doc_id = verdict.doc_id")
+def quality_verdicts_with_lexicon(spark, sf_dir):
+    """The ladder with its last rung, the share of words outside the corpus lexicon."""
+    d = table(spark, sf_dir, "documents")
+    rates = lexicon.oov_rates(d, lexicon.from_corpus(d), "doc_id").select("doc_id", "oov")
+    return quality.with_reason(d.join(rates, "doc_id"), FIXTURE, oov_col="oov").select("doc_id", "reject_reason")
+
+
 @query(f"with {D}, {_TOK}, {_BENCH} select word, count(*) as n from tok where word not in (select word from lex) group by word")
 def missing_words(spark, sf_dir):
     return lexicon.missing_words(table(spark, sf_dir, "documents"), _benchmark_lexicon(spark, sf_dir))
@@ -349,6 +377,15 @@ def pair_quality_adjacent_turns(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", "reason")
 
 
+_RUNG_5 = f"coalesce(reason, case when coalesce({count_sql('t', T.class_of(FIXTURE.special))}::double / nullif({count_sql('t', '[' + chr(92) + 'p{L}]')}, 0), 0.0) < 0.01 then 'target_not_kabyle' end)"
+
+
+@query(f"with {_TURNS}, {_PAIR} select conv_id, turn, {_RUNG_5} as reason from pr")
+def pair_quality_all_rungs(spark, sf_dir):
+    df = parallel.adjacent_turns(table(spark, sf_dir, "conversations"))
+    return df.select("conv_id", "turn", parallel.pair_reason(F.col("src"), F.col("tgt"), FIXTURE).alias("reason"))
+
+
 @query("select coalesce(reason, 'ok') as reason, count(*) as n from pr group by 1".join([f"with {_TURNS}, {_PAIR} ", ""]))
 def pair_reason_counts(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
@@ -404,34 +441,23 @@ _PAIRS = "bk as (select doc_id, (k - 1) // 8 as band, string_agg(cast(v as varch
 
 @query(f"with {D}, {_SHINGLES}, {_SIG}, {_PAIRS} select head, doc_id, similarity from sim")
 def lsh_candidate_pairs(spark, sf_dir):
-    _prepare(spark)
+    ensure_checkpoint_dir(spark)
     return dedup.candidate_pairs(dedup.signatures(table(spark, sf_dir, "documents")).checkpoint())
 
 
-def _prepare(spark: SparkSession) -> None:
-    """Checkpoints go where the session says; a temporary folder only where it says nothing."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not path:
-            import tempfile
-
-            path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(path)
-
-
 _UNIQUE = f"k as (select doc_id, {_KEY.format('text')} as key from documents), f as (select key, min(doc_id) as first_id from k group by key), d as (select doc_id, source, coalesce(text, '') as text from documents where doc_id in (select first_id from f))"
 _COMP = "edge as (select head as u, doc_id as v from sim where similarity >= 0.8 union select doc_id, head from sim where similarity >= 0.8), reach(u, v) as (select doc_id, doc_id from d union select r.u, e.v from reach r join edge e on e.u = r.v), comp as (select u as first_id, min(v) as component_id from reach group by u), cc as (select k.doc_id, f.first_id, comp.component_id, k.doc_id = comp.component_id as kept from k join f using (key) join comp using (first_id))"
 
 
 @query(f"with recursive {_UNIQUE}, {_SHINGLES}, {_SIG}, {_PAIRS}, {_COMP} select doc_id, first_id, component_id, kept from cc")
 def near_dup_components(spark, sf_dir):
-    _prepare(spark)
+    ensure_checkpoint_dir(spark)
     return dedup.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
 @query(f"with recursive {_UNIQUE}, {_SHINGLES}, {_SIG}, {_PAIRS}, {_COMP} select count(*) as total, count(*) filter (where doc_id <> first_id) as exact_removed, count(*) filter (where not kept) - count(*) filter (where doc_id <> first_id) as near_removed, count(*) filter (where kept) as kept from cc")
 def dedup_report(spark, sf_dir):
-    _prepare(spark)
+    ensure_checkpoint_dir(spark)
     return dedup.dedup_report(dedup.near_duplicate_components(table(spark, sf_dir, "documents")))
 
 
@@ -485,7 +511,7 @@ def sample_prefix_by_chars(spark, sf_dir):
     return splits.prefix_by_chars(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-@query()
+@query("with p(lang, need) as (values ('en', 800), ('fr', 120), ('de', 80)), h as (select lang, count(*) as n from documents group by lang), x as (select d.doc_id, d.lang, p.need, unnest(range(1, cast(ceil(p.need / h.n) as bigint) + 1)) as copy from documents d join p using (lang) join h using (lang)), r as (select *, row_number() over (partition by lang order by copy, md5('1337|' || copy || '|' || doc_id)) as k from x) select doc_id, lang, copy, lang as stream from r where k <= need")
 def interleaved_mix(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     parts = {lang: (d.filter(F.col("lang") == lang).select("doc_id", "lang"), share) for lang, share in (("en", 0.8), ("fr", 0.12), ("de", 0.08))}
@@ -551,14 +577,20 @@ def sft_translation(spark, sf_dir):
     return sft.translation(pairs)
 
 
-def _verbs(spark: SparkSession) -> DataFrame:
-    rows = [(i, f"verb{i}", [f"a{i}", None, f"b{i}"] if i % 3 else [], [f"p{i}"], None, f"part{i}" if i % 2 else " ") for i in range(60)]
-    return spark.createDataFrame(rows, "doc_id long, lemma string, aorist array<string>, preterite array<string>, imperative array<string>, participle string")
+def _verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verb tables made of the benchmark's words: some without an aorist, some with a blank participle."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.words("text").alias("w")).filter(F.size("w") >= 5)
+    w = [F.col("w")[k] for k in range(5)]
+    odd = lambda n: F.pmod("item_id", F.lit(n)) != 0
+    return b.select(
+        F.col("item_id").alias("doc_id"), w[0].alias("lemma"), F.when(odd(3), F.array(w[1], F.lit(None), w[2])).otherwise(F.array().cast("array<string>")).alias("aorist"), F.array(w[3]).alias("preterite"),
+        F.lit(None).cast("string").alias("imperative"), F.when(odd(2), w[4]).otherwise(" ").alias("participle"),
+    )
 
 
-@query(f"with v as (select unnest(range(60)) as doc_id), f as (select doc_id, 'urmir' as tense, 0 as k, '- a' || doc_id || chr(10) || '- b' || doc_id as body from v where doc_id % 3 <> 0 union all select doc_id, 'izri', 1, '- p' || doc_id from v union all select doc_id, 'amerna', 3, 'part' || doc_id from v where doc_id % 2 = 1) select doc_id, {_ask_sql('conjugate', chr(34) + 'key' + chr(34), verb='verb', tense='tense')} as instruction, body as response, 'conjugate' as task, 'verbs' as source, 'kab' as lang from (select *, 'verb' || doc_id as verb, doc_id || '|' || k as key from f)")
+@query(f"with v as (select item_id as doc_id, {words_sql('text')} as w from benchmark), u as (select * from v where len(w) >= 5), f as (select doc_id, w, 'urmir' as tense, 0 as k, '- ' || w[2] || chr(10) || '- ' || w[3] as body from u where doc_id % 3 <> 0 union all select doc_id, w, 'izri', 1, '- ' || w[4] from u union all select doc_id, w, 'amerna', 3, w[5] from u where doc_id % 2 = 1) select doc_id, {_ask_sql('conjugate', chr(34) + 'key' + chr(34), verb='verb', tense='tense')} as instruction, body as response, 'conjugate' as task, 'verbs' as source, 'kab' as lang from (select *, w[1] as verb, doc_id || '|' || k as key from f)")
 def sft_conjugate(spark, sf_dir):
-    return sft.conjugation(_verbs(spark))
+    return sft.conjugation(_verbs(spark, sf_dir))
 
 
 @query(f"select item_id as doc_id, {_ask_sql('define', 'item_id', word='w')} as instruction, text as response, 'define' as task, 'lexicon' as source, 'kab' as lang from (select item_id, text, coalesce({words_sql('text')}[1], '') as w from benchmark) order by item_id limit 5000")
@@ -631,9 +663,17 @@ def shifted_windows(spark, sf_dir):
     return out.select("window", *(F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c) for c in "xy"))
 
 
-@query()
+@query(f"with {D}, {_ST}, {_ENC}, x as (select id, row_number() over (order by doc_id, pos) - 1 as p from en), n as (select count(*) as n from x), w as (select draw, {hash_sql('1337', 'draw')} % (n - 128) as low from (select unnest(range(64)) as draw), n where n > 128) select draw, low as start, md5(string_agg(cast(id as varchar), ',' order by p) filter (where p < low + 128)) as x, md5(string_agg(cast(id as varchar), ',' order by p) filter (where p > low)) as y from w join x on p between low and low + 128 group by draw, low")
 def random_windows(spark, sf_dir):
-    return tokens.random_windows(_encoded(spark, sf_dir), 128, 64)
+    out = tokens.random_windows(_encoded(spark, sf_dir), 128, 64)
+    return out.select("draw", "start", *(F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(c) for c in "xy"))
+
+
+@query(f"with {D}, {_ST}, {_ENC}, b as (select distinct doc_id // 10 as b from documents), r as (select b, row_number() over (order by {order_sql(1337, 'b')}, b) as k from b), nb as (select greatest(1, round_even(count(*) * 0.05, 0)) as n from b), sp as (select doc_id, case when r.k <= nb.n then 'val' else 'train' end as split from documents d join r on r.b = d.doc_id // 10, nb), c as (select doc_id, count(*) as n from en group by doc_id) select sp.split, count(*) as n_messages, cast(sum(coalesce(c.n, 0)) + count(*) + 1 as bigint) as stream_ids from sp left join c using (doc_id) group by sp.split")
+def block_streams(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    out = tokens.block_streams(_encoded(spark, sf_dir), splits.block_split(d, block=10, fraction=0.05), 3)
+    return out.groupBy("split").agg(F.max("n_messages").alias("n_messages"), F.sum(F.size("ids")).alias("stream_ids"))
 
 
 @query(f"with {D}, {_ST}, {_ENC}, i as (select d.doc_id, coalesce(list(id order by pos) filter (where id is not null), []) as ids from d left join en on en.doc_id = d.doc_id group by d.doc_id), z as (select doc_id, ids[1:256] as input, least(len(ids) // 2, 256) as k from i) select doc_id, cast(len(input) as bigint) as n, cast(least(k, len(input)) as bigint) as masked, len(input) > k as trainable from z")
@@ -663,6 +703,15 @@ def fertility_stats(spark, sf_dir):
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
+@query()
+def tokenizer_fertility(spark, sf_dir):
+    """Under a real public tokenizer; no SQL engine has one, so tests hold it against the tokenizer itself."""
+    import public_tokenizers
+
+    words = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.fertility(words, special=FIXTURE.special)
+
+
 @query(f"with {D}, {_ST} select piece from (select token as piece, idx from vo where length(token) >= 2 and token not in (select distinct unnest({words_sql('lower(text)')}) from benchmark) order by idx limit 500)")
 def select_new_tokens(spark, sf_dir):
     pieces = tokens.vocabulary(table(spark, sf_dir, "documents")).select(F.col("idx").alias("id"), F.col("token").alias("piece"))
@@ -703,7 +752,11 @@ def letter_profile(spark, sf_dir):
     return fonts.letter_profile(table(spark, sf_dir, "documents"))
 
 
-@query()
+_IMMUNE = "".join(chr(92) + c if c.isascii() else c for c in fonts.IMMUNE)
+_SUSPECT = rf"ch as (select doc_id, lang, unnest(string_split(text, '')) as c, unnest(range(length(text))) as i from d), nb as (select c, lag(c) over (partition by doc_id order by i) as a, lead(c) over (partition by doc_id order by i) as b from ch), gl as (select c as glyph, count(*) as n from nb where regexp_matches(c, '^[^\s\p{{Z}}\p{{Nd}}{_IMMUNE.replace(chr(39), chr(39) * 2)}]$') and (regexp_matches(coalesce(a, ''), '\p{{L}}') or regexp_matches(coalesce(b, ''), '\p{{L}}')) group by 1), tl as (select count(*) as letters from ch where regexp_matches(c, '\p{{L}}')), pl as (select lower(c) as letter, count(*) as k from ch where lang = 'en' and regexp_matches(lower(c), '^\p{{L}}$') group by 1), pf as (select letter, k::double / (select sum(k) from pl) as freq from pl), su as (select glyph, n, n::double / greatest(letters, 1) as rate from gl, tl)"
+
+
+@query(f"with {D}, {_SUSPECT} select glyph, n, rate from su left join pf on pf.letter = lower(glyph) where rate >= 0.001 and (not regexp_matches(glyph, {q('^' + _CANON + '$')}) or (rate > 4.0 * coalesce(freq, 0.0) and rate > 0.002 and not regexp_matches(lower(glyph), '^[a-z]$')))")
 def suspect_glyphs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return fonts.suspects(d, fonts.letter_profile(d.filter("lang = 'en'")))
@@ -722,21 +775,59 @@ def font_usage(spark, sf_dir):
     return fonts.font_usage(_spans(spark, sf_dir), fonts.Registry())
 
 
-@query()
+_HEADS = f"h as (select doc_id, string_split(text, chr(10)) as l from d), s as (select doc_id, l, list_transform(l, lambda x: {strip_sql('x')}) as st from h), c as (select doc_id, key, count(*) as n from (select doc_id, unnest(st) as key from s) group by 1, 2), heads as (select doc_id, list(key) as k from c where n >= 5 and length(key) between 1 and 59 group by 1), bare as (select s.doc_id, array_to_string(list_filter(l, lambda x: not regexp_matches(x, '^\\s*\\p{{Nd}}{{1,4}}\\s*$') and not list_contains(coalesce(heads.k, []), {strip_sql('x')})), chr(10)) as text from s left join heads on heads.doc_id = s.doc_id)"
+_DECODED = f"d as (select doc_id, {_normal_sql('nfc_normalize(t)')} as text from (select doc_id, case doc_id % 4 when 1 then {_map_sql('raw', fonts.MAP_B)} when 2 then raw else {_map_sql('raw', fonts.MAP_A)} end as t from (select doc_id, coalesce(text, '') || chr(10) as raw from documents)))"
+
+
+@query(f"with {_DECODED}, {_HEADS} select doc_id, text from bare")
 def decode_spans(spark, sf_dir):
     return fonts.decode_spans(_spans(spark, sf_dir), profile=FIXTURE)
 
 
-@query()
+def _tried_sql(source: str) -> str:
+    """CTEs best(font, map, oov) over a CTE sample(font, text): each candidate map against the benchmark's words."""
+    tries = " union all ".join(f"select font, {k} as rank, '{name}' as map, {_normal_sql(_map_sql('text', table) if table else 'text', nfc=False)} as t from {source}" for k, (name, table) in enumerate(fonts.MAPS.items()))
+    return f"tr as ({tries}), tw as (select font, rank, map, unnest({words_sql('lower(t)')}) as word from tr), tc as (select font, rank, map, count(*) as n, count(*) filter (where word not in (select word from lex)) as bad from tw group by 1, 2, 3), ta as (select distinct tr.font, tr.rank, tr.map, coalesce(bad::double / n, 1.0) as oov from tr left join tc using (font, rank, map)), best as (select font, map, oov from (select *, row_number() over (partition by font order by oov, rank) as k from ta) where k = 1)"
+
+
+_FONT_SAMPLE = "ls as (select ['AB+AmazighBangle', 'CD+Tayma-X', 'EF+Times', 'GH+BerberNew'][cast(doc_id % 4 + 1 as int)] as font, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from d), lc as (select *, coalesce(sum(length(line)) over (partition by font order by doc_id, i rows between unbounded preceding and 1 preceding), 0) as c from ls), sample as (select font, substr(line, 1, cast(40000 - c as int)) as text from lc where c < 40000)"
+
+
+@query(f"with {D}, {_BENCH}, {_FONT_SAMPLE}, {_tried_sql('sample')} select font, map, oov from best")
 def discover_font_maps(spark, sf_dir):
     return fonts.discover_maps(_spans(spark, sf_dir), _benchmark_lexicon(spark, sf_dir))
 
 
-@query()
+@query(f"with {D}, {_BENCH}, sample as (select doc_id as font, substr(text, 1, 50000) as text from d), {_tried_sql('sample')} select font as doc_id, map, oov from best")
 def decode_text_only(spark, sf_dir):
     return fonts.decode_text(table(spark, sf_dir, "documents").select("doc_id", "text"), _benchmark_lexicon(spark, sf_dir)).select("doc_id", "map", "oov")
 
 
+def _enciphered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """English documents with some letters drawn as glyphs, their lexicon and their letter profile."""
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "aeo", "ɣɛč").alias("text"))
+    drawn = d.select("doc_id", fonts.apply_map(F.col("text"), {"ɣ": "$", "ɛ": "ε", "č": "ç"}).alias("text"))
+    return drawn, lexicon.from_corpus(d), fonts.letter_profile(d)
+
+
+@query()
+def solve_cipher(spark, sf_dir):
+    """The glyphs of a known substitution found again; a greedy search, checked by tests."""
+    ensure_checkpoint_dir(spark)
+    found, before, after = fonts.solve_cipher(*_enciphered(spark, sf_dir))
+    return spark.createDataFrame([(g, t, before, after) for g, t in sorted(found.items())], "glyph string, letter string, before double, after double")
+
+
+@query()
+def solve_fonts(spark, sf_dir):
+    """The same search for each unknown font of a span table."""
+    ensure_checkpoint_dir(spark)
+    drawn, words, profile = _enciphered(spark, sf_dir)
+    spans = drawn.select("doc_id", F.lit(0).alias("seq"), F.lit(0).alias("page"), F.concat(F.lit("XY+Odd-"), F.pmod("doc_id", F.lit(2)).cast("string")).alias("font"), "text")
+    found = fonts.solve_fonts(spans, words, profile)
+    return spark.createDataFrame([(f, g, t) for f, m in sorted(found.items()) for g, t in sorted(m.items())], "font string, glyph string, letter string")
+
+
 # --- Evaluation ---------------------------------------------------------------------------------
 
 _NLL = "select d.doc_id, d.source, l.quality + l.toxic + 1.0 as nll, d.n_chars % 97 as n_tokens from documents d join labels l on l.doc_id = d.doc_id"
@@ -798,7 +889,7 @@ def lr_schedule(spark, sf_dir):
     return df.select("step", F.round(evaluation.learning_rate(F.col("step"), peak=3e-4, floor=3e-5, warmup=100, total=1000), 12).alias("lr"))
 
 
-@query("select arg_min(e, ((v * 1000) % 97) * 1e9 + e) as step, min((v * 1000) % 97) as val_loss from (select event_id as e, value as v from events where event_type = 'view' or true)")
+@query("select arg_min(e, ((v * 1000) % 97) * 1e9 + e) as step, min((v * 1000) % 97) as val_loss from (select event_id as e, value as v from events)")
 def best_checkpoint(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), ((F.col("value") * 1000) % 97).alias("val_loss"))
     return evaluation.best_checkpoint(e)
@@ -809,3 +900,64 @@ def corpus_summary(spark, sf_dir):
     df = _judged(spark, sf_dir).filter("reject_reason is null").agg(F.count("*").alias("documents"), F.sum(F.col("n_words").cast("bigint")).alias("words"))
     df = df.withColumn("e", evaluation.corpus_token_estimate(F.col("words")))
     return df.select("documents", "words", F.round(F.col("e.tokens_before").cast("double"), 6).alias("tokens_before"), F.round(F.col("e.tokens_after").cast("double"), 6).alias("tokens_after"))
+
+
+@query()
+def evaluation_report(spark, sf_dir):
+    """All scores of a model in one row, from tables that stand for its output; the parts have SQL of their own."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    losses = _losses(spark, sf_dir).withColumnRenamed("source", "domain")
+    words = d.select(F.posexplode(T.words(F.coalesce("text", F.lit("")))).alias("pos", "word"))
+    words = words.withColumn("n_tokens", F.size(F.regexp_extract_all("word", F.lit("[aeiou]|[^aeiou]+"), F.lit(0)))).withColumn("n_unk", F.lit(0))
+    choices = e.select(F.slice("embedding", 1, 4).cast("array<double>").alias("scores"), (F.col("label") % 4).alias("answer"))
+    base = e.select(F.slice("embedding", 5, 4).cast("array<double>").alias("scores"), (F.col("label") % 4).alias("answer"))
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("text")
+    out = evaluation.evaluate(losses, said, d.select("text"), words, choices, _benchmark_lexicon(spark, sf_dir), special=FIXTURE.special, base_choices=base)
+    return out.select(F.to_json("perplexity").alias("perplexity"), *(c for c in out.columns if c not in ("perplexity", "forgetting")), "forgetting.drop", "forgetting.verdict")
+
+
+# --- Sources and sinks --------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
+@query("select doc_id, source, md5(text) as digest, cast(n_chars as bigint) as n_words from documents where text is not null")
+def jsonl_round_trip(spark, sf_dir):
+    """Documents written as JSON lines and read again."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", "source", F.col("n_chars").alias("n_words"))
+    path = _folder(spark, "jsonl")
+    writers.write_json(docs, path)
+    return readers.read_documents(spark, path).select("doc_id", "source", F.md5("text").alias("digest"), "n_words")
+
+
+@query(f"with {_SPLIT} select split, count(*) as n, md5(string_agg(cast(ss.doc_id as varchar), ',' order by ss.doc_id)) as ids from ss group by split")
+def split_files_round_trip(spark, sf_dir):
+    """The stratified split written as one JSON-lines folder per split and read again."""
+    docs = table(spark, sf_dir, "documents")
+    path = _folder(spark, "splits")
+    writers.write_splits(docs.select("doc_id", "text", "source"), splits.stratified_split(docs), path)
+    back = spark.read.schema("doc_id long, text string, source string, split string").json(path)
+    return back.groupBy("split").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",")).alias("ids"))
+
+
+@query("select case when lang = 'en' then 'english' else 'other' end as source, count(*) as n, cast(sum(length(text)) as bigint) as chars from documents where regexp_matches(coalesce(text, ''), '[^\\s\\p{Z}]') group by 1")
+def registry_sources(spark, sf_dir):
+    """All documents written as two sources of different columns and loaded through the registry; a missing one is skipped."""
+    docs, path = table(spark, sf_dir, "documents"), _folder(spark, "registry")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for name, rows, column in (("english", english, "sentence"), ("other", ~english, "content")):
+        docs.filter(rows).select(F.col("text").alias(column), "n_chars").write.mode("overwrite").parquet(f"{path}/{name}")
+    sources = [readers.Source(n, "mono", f"{path}/{n}") for n in ("english", "other", "absent")]
+    pool = readers.load_pool(spark, readers.build_pool(sources), check_language=False)
+    return pool.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"with {_TURNS}, {_PAIR}, kept as (select conv_id * 1000 + turn as pair_id, s, t from pr where reason is null) select 'talk' as source, s as src, {_normal_sql('nfc_normalize(t)')} as tgt from (select * from kept where {_RUNG_5.replace('reason', 'null')} is null order by pair_id limit 100)")
+def load_pairs(spark, sf_dir):
+    """Verified pairs of two sources, the noisy one left out, at most 100 of a source in id order."""
+    pairs = parallel.adjacent_turns(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("src").alias("en"), F.col("tgt").alias("kab"))
+    return parallel.load_pairs([("talk", "normal", pairs), ("crawl", "noisy", pairs)], cap=100, profile=FIXTURE)
