@@ -123,8 +123,14 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The documents that pass, columns as given. Counts are taken again instead of moving the texts."""
+    """The documents that pass, columns as given, whatever their names.
+
+    Rows are written once with their counts, so no filter reaches back through the count expressions
+    and no text is counted or moved a second time.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    cuts = scratch.table(thresholds(sketches(with_counts(docs))), "cuts")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return _judge(with_counts(docs), cuts).filter("kept").select(*names)
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    slim = docs.select(given, *(column(docs, c, "string").alias(c) for c in ("lang", "source", "text")))
+    counted = scratch.table(with_counts(slim).drop("text"), "counts")
+    cuts = scratch.table(thresholds(sketches(counted)), "cuts")
+    return _judge(counted, cuts).filter("kept").select("row.*")
