@@ -133,4 +133,20 @@ select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
 from c
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_sql(), "op3_line_dedup": _LINES_SQL, "op7_warc": _WARC_SQL}
+#: All pairs that share a shingle, and reachability over the links: for tables of a few thousand documents.
+_NEAR_SQL = f"""
+with recursive low as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select doc_id, {_WORDS} as words from low),
+s as (select doc_id, list_sort(list_distinct(case when len(words) >= 4 then list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i+3], ' ')) when len(words) > 0 then [array_to_string(words, ' ')] else [] end)) as grams from w),
+n as (select doc_id, cast(len(grams) as bigint) as n_shingles, case when len(grams) > 0 then md5(array_to_string(grams, chr(10))) end as cls from s),
+heads as (select cls, min(doc_id) as head, count(*) as class_size from n where cls is not null group by cls),
+g as (select s.doc_id, n.n_shingles, unnest(grams) as gram from s join n using (doc_id) join heads on heads.head = s.doc_id),
+link as (select a.doc_id as u, b.doc_id as v from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n_shingles, b.n_shingles having 100 * count(*) >= 80 * (a.n_shingles + b.n_shingles - count(*))),
+edge as (select u, v from link union select v, u from link),
+reach(u, v) as (select head, head from heads union select r.u, e.v from reach r join edge e on e.u = r.v),
+comp as (select u as head, min(v) as component_id from reach group by u)
+select n.doc_id, n.n_shingles, coalesce(c.component_id, n.doc_id) as component_id, coalesce(h.class_size, 1) as class_size, n.doc_id = coalesce(c.component_id, n.doc_id) as kept
+from n left join heads h on h.cls = n.cls left join comp c on c.head = h.head
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_sql(), "op3_line_dedup": _LINES_SQL, "op7_warc": _WARC_SQL, "op10_minhash": _NEAR_SQL}
