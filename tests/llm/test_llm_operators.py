@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpusloom.llm")
 from corpusloom.llm import decontam, line_dedup, minhash, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_shards, warc  # noqa: E402
@@ -91,6 +92,25 @@ def test_pii_bootstrap_finds_unseen(spark):
     assert out[21].spans == "" and out[0].n_email == 1 and out[0].n_found == 0
 
 
+def test_pii_one_word_and_right_contexts_and_secrets(spark):
+    key = "0123456789abcdef0123456789abcdef"
+    rows = [f"fax +1 (212) 555-01{i:02d} end tel +1 (212) 555-02{i:02d} please" for i in range(20)] + ["fax 555-0199 end tel 555-0198 please"]
+    rows += [f'w{chr(97 + i)} {chr(97 + i)}x token = "{key[i:]}{key[:i]}" z' for i in range(20)] + ['q q token = "hunter2" q', "version 2.0 of it, chapter 17", key.replace("9", "g")]
+    out = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    assert out[20].spans == "phone:4:12,phone:21:29" and out[20].n_found == 2 and out[20].n_spans == 2
+    assert out[21].n_secret == 1 and out[21].spans == "secret:15:47"
+    assert out[41].spans == "secret:13:20" and out[41].n_secret == 0 and out[41].n_found == 1
+    assert out[42].n_spans == out[43].n_spans == 0
+    plain = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, rows), bootstrap=False).collect()}
+    assert plain[20].n_spans == plain[41].n_spans == 0 and plain[0].n_spans == 2
+
+
+def test_pii_of_a_text_with_many_matches(spark):
+    text = "1.2.3.4 a@b.co\n" * 5000
+    row = pii.find_personal_data(docs_of(spark, [text])).collect()[0]
+    assert (row.n_ip, row.n_email) == (5000, 5000) and row.spans.split(",")[-1] == f"ip:{15 * 4999}:{15 * 4999 + 7}"
+
+
 # --- quality rules
 
 
@@ -118,6 +138,14 @@ def test_quality_thresholds_adapt(spark):
     assert {r.doc_id for r in out} == set(range(100)) and out[0].sig == "x"
 
 
+def test_quality_stage_keeps_given_columns(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, good if i % 3 else "x", None if i % 2 else "en", f"s{i % 2}", -5, "mine", 7, 8) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept string, cut_symbols int, g_lang int")
+    out = quality_rules.keep_quality(df)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(str(r) for r in df.collect() if r.doc_id % 3)
+
+
 def test_quality_null_groups_and_empty(spark):
     df = spark.createDataFrame([(1, None, None, " ".join(map(str, range(30)))), (None, "en", None, None)], "doc_id long, lang string, source string, text string")
     assert {r.doc_id: r.kept for r in quality_rules.judge_quality(df).collect()} == {1: True, None: False}
@@ -214,6 +242,10 @@ def test_near_duplicates_of_a_repeated_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()}
     assert got == {rows[0], rows[2], rows[3]}
+    rows = [(1, "a b c d e f g"), (None, "a b c d e f g"), (7, "a b c d e f g"), (7, "a b c d e f g"), (7, "only this id has these few words"), (None, "no id but a text of its own"), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("c"))
+    got = {(r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()}
+    assert got == {rows[0], rows[4], rows[5], rows[6]}
 
 
 def test_minhash_prune_bound():
@@ -279,6 +311,9 @@ def test_decontamination_of_short_items(spark):
     assert got == {(0, 1, 0), (0, 2, 0), (0, 4, 0), (1, 1, 0), (2, 1, 0), (2, 2, 0)}
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench, min_words=3).collect()} == {(0, 4)}
     assert {r.doc_id for r in decontam.drop_leaks(df, bench).collect()} == {3}
+    rows = [(1, "x"), (1, "one two three four"), (None, "one two three four"), (None, "y"), (2, None)]
+    same = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontam.drop_leaks(same, bench).collect()} == {rows[0], rows[3], rows[4]}
 
 
 @pytest.mark.parametrize("target", [1.0, 0.995])
@@ -437,6 +472,25 @@ def test_warc_members_and_broken_streams(spark, tmp_path):
 # --- packing
 
 
+def test_packing_with_another_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, said = public_tokenizers.path("byte_bpe_50k.json"), odd_texts() + ["Two Words, it's  here", "<|endoftext|> x"]
+    tok = Tokenizer.from_file(path)
+    rows = packing.pack_documents(docs_of(spark, said), tokenizer_path=path).orderBy("doc_id", "start").collect()
+    for i, t in enumerate(said):
+        assert [x for r in rows if r.doc_id == i for x in r.input_ids] == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_packing_of_added_tokens_and_marks(spark):
+    said = ["<|endoftext|> a<|startoftext|>b", "<|ENDOFTEXT|>'x <|endoftext|>'x", "don't Don'T 's ''s !'s", "É. é., x́! ña×. a÷, 12.34 ab12cd -- <b>x</b> \x00a", "日本語。テスト ١٢٣ Ⅷ ½", "a\x85b\u3000c\xa0"]
+    tok = tokenizer()
+    rows = packing.pack_documents(docs_of(spark, said)).orderBy("doc_id", "start").collect()
+    for i, t in enumerate(said):
+        assert [x for r in rows if r.doc_id == i for x in r.input_ids] == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_packing(spark, documents, texts):
     tok = tokenizer()
     for df, want in ((documents, texts), (docs_of(spark, odd_texts()), dict(enumerate(odd_texts())))):
@@ -481,6 +535,64 @@ def test_label_model_orders_patterns():
     assert post[0] > 0.99 and post[1] < 0.01 and 0.8 < fitted["prior"] < 0.95
 
 
+def test_label_model_equals_plain_em():
+    rng = random.Random(4)
+    k, truth = len(quality_classifier.LABELLERS), {}
+    for _ in range(400):
+        good = rng.random() < 0.7
+        votes = tuple(2 if rng.random() < 0.3 else int(good) if rng.random() < 0.85 else int(not good) for _ in range(k))
+        truth[votes] = truth.get(votes, 0) + 1
+    patterns = list(truth)
+    post = {}
+    for v in patterns:
+        good, bad = v.count(1), v.count(0)
+        post[v] = (good + 0.5) / (good + bad + 1) * (0.5 if bad else 1)
+    for _ in range(100):
+        total = sum(truth.values())
+        ones = sum(n * post[v] for v, n in truth.items())
+        prior = (ones + 1) / (total + 2)
+        share = {}
+        for c in (0, 1):
+            weight = {v: n * (post[v] if c else 1 - post[v]) for v, n in truth.items()}
+            for j in range(k):
+                for x in range(3):
+                    share[c, j, x] = (sum(w for v, w in weight.items() if v[j] == x) + 1) / (sum(weight.values()) + 3)
+        new = {}
+        for v in patterns:
+            p1, p0 = prior, 1 - prior
+            for j in range(k):
+                p1, p0 = p1 * share[1, j, v[j]], p0 * share[0, j, v[j]]
+            new[v] = p1 / (p1 + p0)
+        if max(abs(new[v] - post[v]) for v in patterns) < 1e-9:
+            break
+        post = new
+    codes = np.array([sum(x * 3**j for j, x in enumerate(v)) for v in patterns])
+    got, _ = quality_classifier.fit_labellers(codes, np.array([float(truth[v]) for v in patterns]))
+    assert np.allclose(got, [post[v] for v in patterns], atol=1e-8)
+
+
+def test_scorer_equals_plain_gradient_steps():
+    rng = random.Random(6)
+    features = [np.array(sorted(rng.sample(range(30), 5)), np.int32) for _ in range(60)]
+    weights = [np.array([rng.random() for _ in f], np.float32) for f in features]
+    target = np.array([float(min(f) < 4) * 0.9 + 0.05 for f in features])
+    w, speed, bias, moved = [0.0] * 30, [0.0] * 30, 0.0, 0.0
+    share = sum(t >= 0.5 for t in target) / len(target)
+    for _ in range(quality_classifier.STEPS):
+        grad, lean = [quality_classifier.DECAY * x for x in w], quality_classifier.DECAY * bias
+        for f, x, t in zip(features, weights, target, strict=True):
+            z = sum(w[i] * float(v) for i, v in zip(f, x, strict=True)) + bias
+            error = (1 / (1 + np.exp(-z)) - t) * (0.5 / share if t >= 0.5 else 0.5 / (1 - share)) / len(target)
+            lean += error
+            for i, v in zip(f, x, strict=True):
+                grad[i] += error * float(v)
+        speed = [0.9 * s - quality_classifier.RATE * g for s, g in zip(speed, grad, strict=True)]
+        moved = 0.9 * moved - quality_classifier.RATE * lean
+        w, bias = [a + b for a, b in zip(w, speed, strict=True)], bias + moved
+    got = quality_classifier.fit_scorer(features, weights, target)
+    assert np.allclose(got[:30], w, atol=1e-6) and abs(got[-1] - bias) < 1e-6 and not got[30:-1].any()
+
+
 # --- registration
 
 
