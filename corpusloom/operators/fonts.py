@@ -204,14 +204,15 @@ def solve_cipher(docs: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *
     return table, before, unknown(table, exact, False) / total
 
 
-def solve_fonts(spans: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *, min_chars: int = 2_000, min_gain: float = 0.03) -> dict[str, dict[str, str]]:
-    """font -> map for the unknown fonts of enough text whose unknown-word share falls by ``min_gain``."""
+def solve_fonts(spans: DataFrame, lexicon: DataFrame, profile_freq: DataFrame, *, min_chars: int = 2_000, min_gain: float = 0.03, **search) -> dict[str, dict[str, str]]:
+    """font -> map for the unknown fonts of enough text whose unknown-word share falls by ``min_gain``;
+    ``search`` goes to ``solve_cipher``."""
     known = Registry()
     fonts = font_usage(spans, known).filter(F.col("map").isNull() & (F.col("chars") >= min_chars)).orderBy("font").collect()  # a row per font
     out = {}
     for row in fonts:
         own = spans.filter(F.col("font") == row["font"]).select("text")
-        table, before, after = solve_cipher(own, lexicon, profile_freq)
+        table, before, after = solve_cipher(own, lexicon, profile_freq, **search)
         if table and before - after >= min_gain:
             out[row["font"]] = table
     return out

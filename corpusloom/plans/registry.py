@@ -803,6 +803,10 @@ def decode_text_only(spark, sf_dir):
     return fonts.decode_text(table(spark, sf_dir, "documents").select("doc_id", "text"), _benchmark_lexicon(spark, sf_dir)).select("doc_id", "map", "oov")
 
 
+#: The search reads whole texts here; its sample is a feature of the operator.
+_WHOLE = (1 << 31) - 1
+
+
 def _enciphered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """English documents with some letters drawn as glyphs, their lexicon and their letter profile."""
     d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "aeo", "ɣɛč").alias("text"))
@@ -814,7 +818,7 @@ def _enciphered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 def solve_cipher(spark, sf_dir):
     """The glyphs of a known substitution found again; a greedy search, checked by tests."""
     ensure_checkpoint_dir(spark)
-    found, before, after = fonts.solve_cipher(*_enciphered(spark, sf_dir))
+    found, before, after = fonts.solve_cipher(*_enciphered(spark, sf_dir), sample_chars=_WHOLE)
     return spark.createDataFrame([(g, t, before, after) for g, t in sorted(found.items())], "glyph string, letter string, before double, after double")
 
 
@@ -824,7 +828,7 @@ def solve_fonts(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     drawn, words, profile = _enciphered(spark, sf_dir)
     spans = drawn.select("doc_id", F.lit(0).alias("seq"), F.lit(0).alias("page"), F.concat(F.lit("XY+Odd-"), F.pmod("doc_id", F.lit(2)).cast("string")).alias("font"), "text")
-    found = fonts.solve_fonts(spans, words, profile)
+    found = fonts.solve_fonts(spans, words, profile, sample_chars=_WHOLE)
     return spark.createDataFrame([(f, g, t) for f, m in sorted(found.items()) for g, t in sorted(m.items())], "font string, glyph string, letter string")
 
 
