@@ -38,7 +38,7 @@ BATCH = 32
 #: Bands whose buckets are compared first.
 FIRST_BANDS = 8
 #: Members whose sets tell what a group has in common.
-VOTERS = 33
+VOTERS = 65
 #: Members of a bucket that meet all others in the first turn; the next turn takes the square of it.
 CHOSEN = 256
 #: Relative width of the size classes in which members without rare shingles meet.
@@ -167,14 +167,15 @@ def _size_class(n: np.ndarray) -> np.ndarray:
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, at most VOTERS shingle sets) -> the shingles that more than half of them hold (one or two: the first set)."""
+    """(group, at most VOTERS shingle sets) -> the shingles that more than an eighth of them hold, but three of them
+    at least and two of three or four. Any set is right; this one leaves few frequent shingles outside."""
     for batch in batches:
         out = []
         for voters in batch.column(1).to_pylist():
             held = [np.frombuffer(v, np.uint64) for v in voters]
             if len(held) > 2:
                 token, n = np.unique(np.concatenate(held), return_counts=True)
-                held = [token[2 * n > len(held)]]
+                held = [token[(8 * n > len(held)) & (n >= (3 if len(held) > 4 else 2))]]
             out.append(held[0].tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["grp", "common"])
 
@@ -350,6 +351,10 @@ def _components_of(docs: DataFrame, scratch: Scratch, shingle_words: int, percen
     # A class holds all documents of one shingle set.
     classes = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    # Signatures stay only where they are still needed.
+    heads = scratch.table(classes.select("h1", "h2", "cls", "low", "class_size"), "heads")
+    rows = scratch.table(signed.select("doc_id", "n_shingles", "h1", "h2"), "rows")
+    scratch.drop("signed")
 
     bands = classes.select("cls", "sig").mapInArrow(_bands, "band int, bucket long, cls long")
     crowded = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -362,6 +367,7 @@ def _components_of(docs: DataFrame, scratch: Scratch, shingle_words: int, percen
     sets = texts.select("text").mapInArrow(lambda it: _sets(it, shingle_words), "h1 long, h2 long, shingles binary")
     sets = sets.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles")).join(wanted.select("h1", "h2", "cls", "size", "sig"), ["h1", "h2"])
     sets = scratch.table(sets.select("cls", "size", "sig", "shingles"), "sets")
+    scratch.drop("classes")
 
     links = _Links(scratch, sets, percent)
     first = scratch.table(_pairs_with_centre(members.filter(F.col("band") < FIRST_BANDS)), "pairs")
@@ -375,10 +381,10 @@ def _components_of(docs: DataFrame, scratch: Scratch, shingle_words: int, percen
     _settle(links, live.select("bucket", "cls", "rank"))
 
     links.labels = components(scratch, links.edges, "components")
-    named = links.named(classes.select("h1", "h2", "cls", "low", "class_size"))
+    named = links.named(heads)
     lowest = named.groupBy("label").agg(F.min("low").alias("component"))
     placed = named.join(lowest, "label").select("h1", "h2", "component", "class_size")
-    return signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
+    return rows.join(placed, ["h1", "h2"], "left")
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, threshold_percent: int = THRESHOLD_PERCENT, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
