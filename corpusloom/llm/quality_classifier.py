@@ -48,8 +48,8 @@ def _vote(value: np.ndarray, good: np.ndarray | bool, bad: np.ndarray | bool) ->
     return np.where(bad, 0, np.where(good, 1, 2)).astype(np.int64) + 0 * value.astype(np.int64)
 
 
-def votes_and_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Vote pattern of each row in base 3 (0 bad, 1 good, 2 abstain), and its feature bins and weights."""
+def votes_and_features(data: np.ndarray, offsets: np.ndarray, with_features: bool = True) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Vote pattern of each row in base 3 (0 bad, 1 good, 2 abstain), and its feature bins and weights if asked for."""
     starts, ends, first = find_words(data, offsets)
     rows = len(offsets) - 1
     n = np.diff(first)
@@ -92,6 +92,8 @@ def votes_and_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         _vote(n, (tails < 0.02) & (n > 0), tails > 0.08),
     ]
     pattern = sum(v * 3**k for k, v in enumerate(votes))
+    if not with_features:
+        return pattern, [], []
     # Features: shape of each word with runs folded, whether it repeats the one before, and coarse document statistics.
     shape = _SHAPE[data]
     keep = np.ones(len(data), bool)
@@ -156,6 +158,14 @@ def fit_scorer(features: list[np.ndarray], weights: list[np.ndarray], target: np
     return w
 
 
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, hash) -> hash and vote pattern; features are made where they are used."""
+    for batch in batches:
+        for low, high, data, offsets in text_slices(batch.column(0)):
+            pattern = votes_and_features(data, offsets, False)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), pa.array(pattern, pa.int32())], ["hash", "pattern"])
+
+
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in text_slices(batch.column(1)):
@@ -181,7 +191,7 @@ def score_documents(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataF
     source = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("text"))
     keyed = source.withColumn("hash", F.xxhash64("text", F.lit(17)))
     schema = "doc_id long, hash long, pattern int, bins array<int>, weights array<float>"
-    voted = scratch.table(keyed.mapInArrow(_patterns, schema).select("hash", "pattern"), "votes")
+    voted = scratch.table(keyed.select("text", "hash").mapInArrow(_votes, "hash long, pattern int"), "votes")
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3**10 rows
     patterns, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["n"] for r in counts], float)
     posterior, _ = fit_labellers(patterns, n)
