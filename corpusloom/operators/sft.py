@@ -84,11 +84,12 @@ def continuation(docs: DataFrame, limit: int = 10_000) -> DataFrame:
     return _first(df.select(*_example("continue", instruction("continue", F.col("doc_id"), text=F.col("head")), F.array_join("tail", " "), F.col("source"))), limit)
 
 
-def translation(pairs: DataFrame, *, other: str = "taglizit", limit: int = 30_000) -> DataFrame:
-    """Both directions of each pair (doc_id, src, tgt), interleaved."""
+def translation(pairs: DataFrame, *, other: str = "taglizit", limit: int | None = 30_000) -> DataFrame:
+    """Both directions of each pair (doc_id, src, tgt), interleaved; without ``limit``, of all pairs in no order."""
     there = F.struct(F.lit(0).alias("k"), instruction("translate_to_kab", F.col("doc_id"), text=F.col("src")).alias("i"), F.col("tgt").alias("r"), F.lit("translate_to_kab").alias("t"))
     back = F.struct(F.lit(1).alias("k"), instruction("translate_from_kab", F.col("doc_id"), text=F.col("tgt"), lang=F.lit(other)).alias("i"), F.col("src").alias("r"), F.lit("translate_from_kab").alias("t"))
-    df = pairs.select("doc_id", F.explode(F.array(there, back)).alias("e")).orderBy("doc_id", "e.k").limit(limit)
+    df = pairs.select("doc_id", F.explode(F.array(there, back)).alias("e"))
+    df = df if limit is None else df.orderBy("doc_id", "e.k").limit(limit)
     return df.select("doc_id", F.col("e.i").alias("instruction"), F.col("e.r").alias("response"), F.col("e.t").alias("task"), F.lit("parallel").alias("source"), F.lit("kab").alias("lang"))
 
 

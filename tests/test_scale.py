@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation, fonts, quality, sft, splits, tokens
 from corpusloom.operators.ranking import with_rank
+from corpusloom.plans.registry import QUERIES
 
 
 def test_rank_follows_the_order(spark):
@@ -98,3 +99,13 @@ def test_cipher_tells_emphatic_from_plain(spark):
     profile = fonts.letter_profile(spark.createDataFrame([(" ".join(words),)], "text string"))
     found, before, after = fonts.solve_cipher(spark.createDataFrame([(text,)], "text string"), lexicon, profile)
     assert found == {"ô": "r"} and before > 0.5 and after == 0
+
+
+def test_translation_query_reads_all_pairs(spark, tmp_path):
+    n = 15_001
+    turns = spark.range(2 * n).select(
+        F.floor(F.col("id") / 2).alias("conv_id"), (F.col("id") % 2).cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") % 2 == 0, "one two three four").otherwise("yan sin kraḍ kuẓ").alias("text"),
+    )
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert QUERIES["sft_translation"](spark, str(tmp_path)).count() == 2 * n
