@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +117,17 @@ def test_running_heads(spark):
 
 def test_character_name(spark):
     assert apply(spark, T.character_name, ["ɛ"]) == ["U+025B LATIN SMALL LETTER OPEN E"]
+
+
+def test_normal_forms_stay_in_the_jvm(spark):
+    texts = ["éạ́", "ẛ̣", "ﬁn ① İI ΣΑΣ", "각", "aͅ\U0001e94ab", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", T.nfc(F.col("t")).alias("n"), T.canonical_key(F.col("t")).alias("k"), T.normalize(F.col("t")).alias("m"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        if r.t is None:
+            assert (r.n, r.k, r.m) == (None, None, None)
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFKD", r.t.lower()) if not unicodedata.combining(c))
+        assert r.n == unicodedata.normalize("NFC", r.t)
+        assert r.k == re.sub(r"[\W_]+", " ", bare).strip(" ")
