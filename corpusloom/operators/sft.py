@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.profile import DEFAULT, LanguageProfile
 from .parallel import round_trip_filter
+from .ranking import ensure_checkpoint_dir
 
 # Instruction templates, system prompt and tense names of the target language.
 SYSTEM = "Kečč d amɛiwen aseklan i yessawalen taqbaylit."
@@ -143,7 +144,9 @@ def messages(examples: DataFrame, system: str | None = SYSTEM) -> DataFrame:
 
 def assemble(parts: list[DataFrame], *, seed: int = SEED, max_val: int = 2_000) -> DataFrame:
     """All examples in hash order; the first min(max_val, n // 20) validate."""
+    ensure_checkpoint_dir(parts[0].sparkSession)
     df = reduce(DataFrame.unionByName, parts).withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), "task", "doc_id", "instruction")))
+    df = df.checkpoint()  # three reads of what the parts' limits left
     bound = df.agg(F.least(F.lit(max_val), F.floor(F.count("*") / 20)).alias("n_val"))
     head = df.select("order").orderBy("order").limit(max_val).withColumn("k", F.row_number().over(Window.orderBy("order")))
     last = head.join(F.broadcast(bound)).filter("k <= n_val").agg(F.coalesce(F.max("order"), F.lit("")).alias("last"))

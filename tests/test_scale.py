@@ -8,6 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+from corpusloom.functions.profile import DEFAULT, FIXTURE
 from corpusloom.operators import evaluation, fonts, quality, sft, splits, tokens
 from corpusloom.operators.ranking import with_rank
 from corpusloom.plans.registry import QUERIES
@@ -109,3 +111,43 @@ def test_translation_query_reads_all_pairs(spark, tmp_path):
     )
     turns.write.parquet(str(tmp_path / "conversations.parquet"))
     assert QUERIES["sft_translation"](spark, str(tmp_path)).count() == 2 * n
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quick_classes_hold_the_same_characters(spark):
+    chars = spark.range(1, 0x3000).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    for letters in ("aɣ]^-\\[é", "ab", "ɣ", FIXTURE.canonical, DEFAULT.canonical):
+        own, rest = T.quick_class(letters), T.quick_class(letters, negate=True)
+        got = chars.agg(F.collect_set(F.when(F.col("c").rlike(own), F.col("c"))), F.collect_set(F.when(F.col("c").rlike(rest), F.col("c")))).first()
+        assert set(got[0]) == set(letters) and len(got[1]) == 0x3000 - 1 - len(set(letters))
+
+
+def test_report_judges_each_document_once(spark):
+    df = spark.createDataFrame([(1, "a", "x y"), (2, "a", ""), (3, "b", "1 2"), (4, None, "")], "doc_id long, source string, text string")
+    out = quality.report_by_source(quality.with_reason(df, FIXTURE))
+    assert _plan(out).count("Scan ExistingRDD") == 1
+    assert {(r.source, r.seen, r.kept, r.kept_words, r.top_reason) for r in out.collect()} == {("a", 2, 0, 0, "empty"), ("b", 1, 0, 0, "too_short"), (None, 1, 0, 0, "empty")}
+
+
+def test_lexicon_rung_after_the_ladder(spark):
+    good = "many words that stand in a row of letters"
+    df = spark.createDataFrame([(1, good, 0.9), (2, good, 0.1), (3, "", 0.9)], "doc_id long, text string, oov double")
+    want = quality.with_reason(df, FIXTURE, oov_col="oov").select("doc_id", "reject_reason")
+    got = quality.with_lexicon_reason(quality.with_reason(df.drop("oov"), FIXTURE), df.select("doc_id", "oov"), FIXTURE)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "high_oov"), (2, None), (3, "empty")]
+
+
+def test_assembled_examples_are_made_once(spark):
+    df = spark.createDataFrame([(i, "One two three four five six. " * 20, "s") for i in range(60)], "doc_id long, text string, source string")
+    out = sft.assemble([sft.qa(df), sft.summarize(df)])
+    assert "regexp" not in _plan(out) and out.filter("split = 'val'").count() == 6
+
+
+def test_texts_alone_shuffle_no_words(spark):
+    df = spark.createDataFrame([(1, "azul ôa"), (2, None), (3, "vava $")], "doc_id long, text string")
+    out = fonts.decode_text(df, spark.createDataFrame([("ṛa",), ("azul",)], "word string"))
+    assert len([x for x in _plan(out).split("\n") if "hashpartitioning" in x and "word" in x]) == 1  # the lexicon's own
+    assert {r.doc_id: (r.map, r.oov) for r in out.collect()} == {1: ("map_a", 0.0), 2: ("identity", 1.0), 3: ("identity", 1.0)}
