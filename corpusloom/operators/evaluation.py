@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,35 +52,40 @@ def bits_per_character(loss: Column, tokens: Column, chars: Column) -> Column:
     return loss / F.log(F.lit(2.0)) * tokens / chars
 
 
-def _characters(c: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(c, r"[\s\p{Z}]+", ""), ""), lambda x: x != "")
-
-
 def _split_words(c: Column) -> Column:
     """White-space tokens with one leading or trailing punctuation mark set apart."""
     spaced = F.regexp_replace(F.regexp_replace(c, r"(?<=[^\s\p{Z}])(\p{P})(?=[\s\p{Z}]|$)", " $1"), r"(?<=^|[\s\p{Z}])(\p{P})(?=[^\s\p{Z}])", "$1 ")
     return F.filter(F.split(spaced, r"[\s\p{Z}]+"), lambda x: x != "")
 
 
-def _ngrams(units: str, n: int, glue: str) -> Column:
-    """n-grams of an array column, by name."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(units) - n), lambda i: F.array_join(F.slice(units, i + 1, n), glue))
-    return F.when(F.size(units) >= n, grams).otherwise(F.array().cast("array<string>"))
+def _matched(batches: Iterator[pa.RecordBatch], char_order: int, word_order: int) -> Iterator[pa.RecordBatch]:
+    """Batches (ch, cr, wh, wr) -> per batch and order o (characters first, then words) the matched n-grams m and those of each side, h and r."""
+    for batch in batches:
+        sums = np.zeros((char_order + word_order, 3), np.int64)
+        rows = (row for low in range(0, len(batch), 256) for row in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True))
+        for ch, cr, wh, wr in rows:
+            for o in range(char_order + word_order):
+                a, b, n = (ch, cr, o + 1) if o < char_order else (wh, wr, o + 1 - char_order)
+                h, r = max(0, len(a) - n + 1), max(0, len(b) - n + 1)
+                sums[o, 1:] += (h, r)
+                if h and r:
+                    x, y = (Counter(s[i : i + n] for i in range(k)) if o < char_order else Counter(tuple(s[i : i + n]) for i in range(k)) for s, k in ((a, h), (b, r)))
+                    if len(y) < len(x):
+                        x, y = y, x
+                    sums[o, 0] += sum(min(c, y[g]) for g, c in x.items() if g in y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), *(pa.array(sums[:, k]) for k in range(3))], ["o", "m", "h", "r"])
 
 
 def chrf(pairs: DataFrame, *, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
     """Corpus chrF++ of (id, hypothesis, reference): F-beta of matched n-grams per order, averaged, times 100.
 
-    Orders without n-grams on either side are left out of the average.
+    A pair's n-grams are matched where the pair is; a row per batch and order is shuffled. Orders without n-grams on either side are left out of the average.
     """
-    units = {f"{k}{s}": f(F.coalesce(c, F.lit(""))).alias(f"{k}{s}") for k, f in (("c", _characters), ("w", _split_words)) for s, c in (("h", "hypothesis"), ("r", "reference"))}
-    df = pairs.select("id", *units.values())
-    orders = [("c", n, "") for n in range(1, char_order + 1)] + [("w", n, " ") for n in range(1, word_order + 1)]
-    sides = F.array(*(F.struct(F.lit(f"{k}{n}").alias("o"), _ngrams(f"{k}h", n, g).alias("h"), _ngrams(f"{k}r", n, g).alias("r")) for k, n, g in orders))
-    df = df.select("id", F.explode(sides).alias("x"))
-    grams = df.select("id", "x.o", F.explode(F.concat(F.transform("x.h", lambda g: F.struct(g.alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))), F.transform("x.r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("h"), F.lit(1).alias("r"))))).alias("e"))
-    counts = grams.groupBy("id", "o", "e.g").agg(F.sum("e.h").alias("h"), F.sum("e.r").alias("r"))
-    by = counts.groupBy("o").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).filter("h > 0 and r > 0")
+    sides = {"h": F.coalesce("hypothesis", F.lit("")), "r": F.coalesce("reference", F.lit(""))}
+    chars = [F.regexp_replace(c, r"[\s\p{Z}]+", "").alias(f"c{s}") for s, c in sides.items()]
+    df = pairs.select(*chars, *(_split_words(c).alias(f"w{s}") for s, c in sides.items()))
+    counts = df.mapInArrow(lambda it: _matched(it, char_order, word_order), "o long, m long, h long, r long")
+    by = counts.groupBy("o").agg(*(F.sum(c).alias(c) for c in "mhr")).filter("h > 0 and r > 0")
     p, r = F.col("m") / F.col("h"), F.col("m") / F.col("r")
     f = F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))
     return by.agg(F.coalesce(100 * F.avg(f), F.lit(0.0)).alias("chrf"))
