@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .ranking import with_rank
+from .ranking import ensure_checkpoint_dir, with_rank
 
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 MASK = -100
@@ -26,12 +26,46 @@ def vocabulary(docs: DataFrame, min_freq: int = 2) -> DataFrame:
     return with_rank(counts, F.desc("n"), F.col("token"), name="idx").withColumn("idx", (F.col("idx") + 3).cast("int"))
 
 
+def _localized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, tokens) -> a row (chunk, doc_id, ids) per document and a row (chunk, words) per batch: ids stand
+    in the chunk's own list of distinct words, so a word leaves the chunk once."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for k, batch in enumerate(batches):
+        tokens = batch.column(1)
+        coded = tokens.flatten().dictionary_encode()
+        n = len(batch)
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)), coded.indices)
+        chunk = pa.array(np.full(n + 1, (part << 32) + k, np.int64))
+        docs = pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)])
+        words = pa.concat_arrays([pa.nulls(n, pa.list_(pa.string())), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))])
+        yield pa.RecordBatch.from_arrays([chunk, docs, pa.concat_arrays([ids, pa.nulls(1, ids.type)]), words], ["chunk", "doc_id", "ids", "words"])
+
+
+def _globalized(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """Documents of one chunk with their ids taken from the chunk's list."""
+    if not len(rows):
+        return pd.DataFrame({"doc_id": [], "ids": []})
+    table = np.full(1 + max(int(x.max()) if len(x) else 0 for x in rows["ids"]), UNK, np.int32)
+    table[words["at"].to_numpy(np.int64)] = words["idx"].to_numpy(np.int32)
+    return pd.DataFrame({"doc_id": rows["doc_id"], "ids": [table[x] for x in rows["ids"]]})
+
+
 def encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, ids: token indices in order, UNK where the vocabulary lacks one; empty text, empty ids."""
-    toks = docs.select("doc_id", F.posexplode(T.simple_tokens(F.coalesce("text", F.lit("")))).alias("pos", "token"))
-    hit = toks.join(vocab.select("token", "idx"), "token", "left").select("doc_id", F.struct("pos", F.coalesce("idx", F.lit(UNK)).alias("idx")).alias("p"))
-    rows = hit.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["idx"]).alias("ids"))
-    return docs.select("doc_id").join(rows, "doc_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    """doc_id, ids: token indices in order, UNK where the vocabulary lacks one; empty text, empty ids.
+
+    Documents are coded by a word list per Arrow batch; the lists meet the vocabulary, so its join moves a
+    row per distinct word of a batch, and the documents move once, as integers.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    toks = docs.select("doc_id", T.simple_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    local = toks.mapInArrow(_localized, f"chunk long, doc_id {kind}, ids array<int>, words array<string>").checkpoint()
+    lists = local.filter("words is not null").select(F.col("chunk").alias("list"), F.posexplode("words").alias("at", "token"))
+    known = lists.join(vocab.select("token", "idx"), "token").select("list", "at", F.col("idx").cast("int").alias("idx"))
+    rows = local.filter("words is null").select("chunk", "doc_id", "ids")
+    return rows.groupBy("chunk").cogroup(known.groupBy("list")).applyInPandas(_globalized, f"doc_id {kind}, ids array<int>")
 
 
 def stream_positions(sequences: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,26 @@ def test_texts_alone_shuffle_no_words(spark):
     out = fonts.decode_text(df, spark.createDataFrame([("ṛa",), ("azul",)], "word string"))
     assert len([x for x in _plan(out).split("\n") if "hashpartitioning" in x and "word" in x]) == 1  # the lexicon's own
     assert {r.doc_id: (r.map, r.oov) for r in out.collect()} == {1: ("map_a", 0.0), 2: ("identity", 1.0), 3: ("identity", 1.0)}
+
+
+def test_chrf_shuffles_no_grams(spark):
+    pairs = [(i, a, b) for i, (a, b) in enumerate([("a aba b.", "aba ab b!"), ("xx", ""), (None, "y"), ("é é ɣa, é", "é ɣa é é")])]
+    out = evaluation.chrf(spark.createDataFrame(pairs, "id long, hypothesis string, reference string"))
+    assert "Generate" not in _plan(out)
+    sums = Counter()
+    for _, a, b in pairs:
+        words = [re.sub(r"([.,!])(?=\s|$)", r" \1", t or "").split() for t in (a, b)]
+        for o, n, (x, y) in [*((k, k, ["".join((t or "").split()) for t in (a, b)]) for k in range(1, 7)), *((6 + k, k, words) for k in (1, 2))]:
+            g, h = (Counter(tuple(z[i : i + n]) for i in range(len(z) - n + 1)) for z in (x, y))
+            sums += Counter({(o, "m"): (g & h).total(), (o, "h"): g.total(), (o, "r"): h.total()})
+    f = [5 * sums[o, "m"] / (4 * sums[o, "r"] + sums[o, "h"]) for o in range(1, 9) if sums[o, "h"] and sums[o, "r"]]
+    assert out.first().chrf == pytest.approx(100 * sum(f) / len(f))
+
+
+def test_encoding_joins_a_row_per_word_of_a_batch(spark):
+    rows = [(i, t) for i, t in enumerate(["b a a c", "", None, "a zz b a", "zz"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, idx int")
+    out = tokens.encode(df, vocab)
+    assert "CoGroup" in _plan(out) and "pos#" not in _plan(out)
+    assert {r.doc_id: r.ids for r in out.collect()} == {0: [5, 4, 4, 1], 1: [], 2: [], 3: [4, 1, 5, 4], 4: [1]}
