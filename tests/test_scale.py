@@ -176,3 +176,36 @@ def test_encoding_joins_a_row_per_word_of_a_batch(spark):
     out = tokens.encode(df, vocab)
     assert "CoGroup" in _plan(out) and "pos#" not in _plan(out)
     assert {r.doc_id: r.ids for r in out.collect()} == {0: [5, 4, 4, 1], 1: [], 2: [], 3: [4, 1, 5, 4], 4: [1]}
+
+
+def test_cipher_search_reads_counted_tokens(spark):
+    docs = spark.createDataFrame([("$zul  $zul\nx$y-a b\u2003Σ$Σ",), ("$zul",), (None,)], "text string")
+    counted = fonts.token_counts(docs)
+    assert {r.text: r.n for r in counted.collect()} == {"$zul": 3, "x$y-a": 1, "b": 1, "Σ$Σ": 1}
+    profile = fonts.letter_profile(docs)
+    assert sorted(map(tuple, fonts.letter_profile(counted, weight="n").collect())) == sorted(map(tuple, profile.collect()))
+    assert fonts.suspects(counted, profile, weight="n").collect() == fonts.suspects(docs, profile).collect()
+
+
+def test_cipher_weighs_words_of_several_glyphs(spark):
+    """Words of two unknown glyphs wait for the first; known letters that are suspects too are weighed by what they already spell."""
+    plain = ["ɣara", "kɛra", "ɣeɛa", "roka", "ɣoka", "toto"]
+    text = " ".join(plain * 20)
+    lex = spark.createDataFrame([(w,) for w in plain], "word string")
+    drawn = spark.createDataFrame([(text.replace("ɣ", "$").replace("ɛ", "ε"),)], "text string")
+    profile = fonts.letter_profile(spark.createDataFrame([(text,)], "text string"))
+    found, before, after = fonts.solve_cipher(drawn, lex, profile)
+    assert found == {"$": "ɣ", "ε": "ɛ"} and after == 0 and abs(before - 4 / 6) < 1e-9
+    free = spark.createDataFrame([(text.replace("ɣ", "$").replace("ɛ", "ε"), 3)], "text string, n long")
+    assert fonts.solve_cipher(free, lex, profile, weight="n") == (found, before, after)
+
+
+def test_fonts_share_tokens_and_lexicon(spark, monkeypatch):
+    plain = ["ɣara", "kɛra", "roka"]
+    rows = [(k, 0, 0, font, " ".join(plain * 200).replace("ɣ", a).replace("ɛ", b)) for k, (font, a, b) in enumerate([("Odd", "$", "ε"), ("Even", "ε", "$")])]
+    spans = spark.createDataFrame(rows, "doc_id long, seq int, page int, font string, text string")
+    lex = spark.createDataFrame([(w,) for w in plain], "word string")
+    made = []
+    monkeypatch.setattr(fonts, "_lexicons", lambda x, f=fonts._lexicons: made.append(1) or f(x))
+    found = fonts.solve_fonts(spans, lex, fonts.letter_profile(spark.createDataFrame([(" ".join(plain),)], "text string")))
+    assert found == {"Odd": {"$": "ɣ", "ε": "ɛ"}, "Even": {"ε": "ɣ", "$": "ɛ"}} and len(made) == 1
