@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.profile import DEFAULT, FIXTURE
-from corpusloom.operators import evaluation, fonts, quality, sft, splits, tokens
+from corpusloom.operators import dedup, evaluation, fonts, quality, sft, splits, tokens
 from corpusloom.operators.ranking import with_rank
 from corpusloom.plans.registry import QUERIES
 
@@ -209,3 +209,14 @@ def test_fonts_share_tokens_and_lexicon(spark, monkeypatch):
     monkeypatch.setattr(fonts, "_lexicons", lambda x, f=fonts._lexicons: made.append(1) or f(x))
     found = fonts.solve_fonts(spans, lex, fonts.letter_profile(spark.createDataFrame([(" ".join(plain),)], "text string")))
     assert found == {"Odd": {"$": "ɣ", "ε": "ɛ"}, "Even": {"ε": "ɣ", "$": "ɛ"}} and len(made) == 1
+
+
+def test_signatures_hold_no_arrow_batch(spark):
+    docs = spark.createDataFrame([(0, "Azul fell-awen, a y imdanen"), (1, None), (2, "azul")], "doc_id long, text string")
+    signed = dedup.signatures(docs)
+    assert "ArrowEvalPython" not in _plan(signed) and "BatchEvalPython" in _plan(signed)
+    a, b = dedup.permutations()
+    got = {r.doc_id: r.signature for r in signed.collect()}
+    assert got[1] == [0] * dedup.NUM_PERM
+    sets = {r.doc_id: r.s for r in dedup.shingle_sets(docs).collect()}
+    assert all(got[i] == [min((x * s + y) % dedup.MERSENNE for s in sets[i]) for x, y in zip(a, b, strict=True)] for i in (0, 2))
