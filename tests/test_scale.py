@@ -220,3 +220,17 @@ def test_signatures_hold_no_arrow_batch(spark):
     assert got[1] == [0] * dedup.NUM_PERM
     sets = {r.doc_id: r.s for r in dedup.shingle_sets(docs).collect()}
     assert all(got[i] == [min((x * s + y) % dedup.MERSENNE for s in sets[i]) for x, y in zip(a, b, strict=True)] for i in (0, 2))
+
+
+@pytest.mark.parametrize("name", ["near_dup_components", "lsh_candidate_pairs", "dedup_report"])
+def test_duplicate_queries_sign_in_small_lots(spark, data_dir, monkeypatch, name):
+    plans = []
+
+    def signed(*args, real=dedup.signatures, **options):
+        out = real(*args, **options)
+        plans.append(_plan(out))
+        return out
+
+    monkeypatch.setattr(dedup, "signatures", signed)
+    assert QUERIES[name](spark, data_dir).count()
+    assert len(plans) == 1 and "BatchEvalPython" in plans[0] and "ArrowEvalPython" not in plans[0]
