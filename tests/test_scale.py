@@ -211,6 +211,30 @@ def test_fonts_share_tokens_and_lexicon(spark, monkeypatch):
     assert found == {"Odd": {"$": "ɣ", "ε": "ɛ"}, "Even": {"ε": "ɣ", "$": "ɛ"}} and len(made) == 1
 
 
+def test_fonts_take_counted_tokens_with_blanks(spark):
+    """Tokens with blanks weigh as much as the spans, so ``min_chars`` finds the same fonts."""
+    plain, rate = ["ɣara", "kɛra", "roka"], 40
+    text = "  ".join(plain * rate).replace("ɣ", "$").replace("ɛ", "ε") + "\n"
+    spans = spark.createDataFrame([(0, "Odd", text), (1, "Odd", None), (2, "Odd", "\u2003 \t")], "doc_id long, font string, text string")
+    counted = fonts.token_counts(spans, "font", blanks=True)
+    size = len(text) + 3
+    usage = fonts.font_usage(counted, fonts.Registry(), weight="n").collect()
+    assert usage == fonts.font_usage(spans, fonts.Registry()).collect() and usage[0].chars == size
+    assert sum(r.n for r in counted.collect() if r.text.strip()) == 3 * rate
+    lex = spark.createDataFrame([(w,) for w in plain], "word string")
+    profile = fonts.letter_profile(lex.withColumnRenamed("word", "text"))
+    for least, want in ((size, {"Odd": {"$": "ɣ", "ε": "ɛ"}}), (size + 1, {})):
+        assert fonts.solve_fonts(counted, lex, profile, min_chars=least, weight="n") == want
+        assert fonts.solve_fonts(spans, lex, profile, min_chars=least) == want
+
+
+def test_font_query_reads_texts_once(spark, data_dir, monkeypatch):
+    plans = []
+    monkeypatch.setattr(fonts, "solve_fonts", lambda spans, *a, **k: plans.append(_plan(spans)) or {})
+    assert QUERIES["solve_fonts"](spark, data_dir).count() == 0
+    assert len(plans) == 1 and "FileScan" not in plans[0]
+
+
 def test_signatures_hold_no_arrow_batch(spark):
     docs = spark.createDataFrame([(0, "Azul fell-awen, a y imdanen"), (1, None), (2, "azul")], "doc_id long, text string")
     signed = dedup.signatures(docs)
